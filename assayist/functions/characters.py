@@ -67,7 +67,7 @@ def tables() -> tuple[dict[str, str], str, str]:
     """Mapped characters, blanks and ignorable characters, over the planes that hold letters, forms and format characters."""
     mapped, blanks, nothing = {}, [], []
     for o in (*range(0x20000), *range(0xE0000, 0xE0200)):
-        if 0xD800 <= o <= 0xDFFF or 0x20 < o < 0x7F:
+        if 0xD800 <= o <= 0xDFFF or 0x20 <= o < 0x7F:
             continue
         ch = chr(o)
         if ignorable(ch):
