@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayist.llm import canonical, dyadic, transducer
-from assayist.session import read_table, written
+from assayist.llm import addresses, canonical, dyadic, leakage, transducer
+from assayist.session import read_table, spread, written
 
 _FINDING = ["finding_id", "field_name", "extracted_value", "expected_value"]
 
@@ -43,11 +43,26 @@ def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dyadic.merged(dyadic.sketches(counts, [*_GROUP, "day"]), _GROUP, [50, 90, 99]).drop("n_below")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "application").select("application_id", "street", "city", "state", "zip")
+    return addresses.same_place(rows, "application_id").select(F.col("id_a").alias("application_id_a"), F.col("id_b").alias("application_id_b"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.canonicalized(read_table(spark, sf_dir, "field_finding").select(_FINDING), read_table(spark, sf_dir, "canonical_entry"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p3_found": p3_found, "p3_percentiles": p3_percentiles, "p6_found": p6_found}
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and items with a passage of twelve words and at most one error in it."""
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return leakage.leaks(docs, read_table(spark, sf_dir, "eval_item"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).filter("exact_words >= 12").select("doc_id", "item_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p3_found": p3_found, "p3_percentiles": p3_percentiles, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_leaks": p7_leaks}
 
 _ONCE = "SELECT any_value(model_version) AS model_version, any_value(started_at) AS started_at, any_value(cache_hit) AS cache_hit, any_value(total_duration_ms) AS total_duration_ms, any_value(vision_duration_ms) AS vision_duration_ms FROM metrics GROUP BY evaluation_id"
 _LONG = f"SELECT model_version, strftime(date_trunc('week', started_at AT TIME ZONE 'UTC'), '%Y-%m-%d') AS week_start, cache_hit::BIGINT AS cache_hit, metric_name, value FROM (UNPIVOT ({_ONCE}) ON total_duration_ms, vision_duration_ms INTO NAME metric_name VALUE value) WHERE value > 0 AND model_version IS NOT NULL AND cache_hit IS NOT NULL"

@@ -20,6 +20,9 @@ from pyspark.sql import types as T
 from assayist.functions.characters import tables
 
 
+_RUN = re.compile(r"[ -~]?[^ -~]+")
+
+
 class Conflict(ValueError):
     """Entries of a mapping that contradict each other."""
 
@@ -48,6 +51,7 @@ class Transducer:
         single = "[" + re.escape("".join(k for k in mapping if len(k) == 1)) + "]"
         self.scan = re.compile("|".join([*map(re.escape, longest), rf"[\s\S]?{extend}+", single]))
         self.known = dict(mapping)
+        self.runs: dict[str, str] = {}
 
     def _cluster(self, m: re.Match) -> str:
         text = m[0]
@@ -59,7 +63,16 @@ class Transducer:
         return out
 
     def __call__(self, text: str) -> str:
-        return text if text.isascii() and text.isprintable() else self.scan.sub(self._cluster, text)
+        """The text in one pass. Only runs that aren't printable ASCII, with the character before them, are looked into."""
+        return text if text.isascii() and text.isprintable() else _RUN.sub(self._run, text)
+
+    def _run(self, m: re.Match) -> str:
+        text = m[0]
+        if (out := self.runs.get(text)) is None:
+            out = self.scan.sub(self._cluster, text)
+            if len(text) <= 64 and len(self.runs) < 200_000:
+                self.runs[text] = out
+        return out
 
 
 @lru_cache(maxsize=1)
