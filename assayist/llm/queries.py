@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayist.llm import addresses, canonical, dyadic, leakage, subjects, transducer
+from assayist.llm import addresses, canonical, dyadic, leakage, mixing, subjects, transducer
 from assayist.session import read_table, spread, written
 
 _FINDING = ["finding_id", "field_name", "extracted_value", "expected_value"]
@@ -62,6 +62,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).filter("exact_words >= 12").select("doc_id", "item_id")
 
 
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixing.mixed(docs, read_table(spark, sf_dir, "mix_target"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(p8_mix(spark, sf_dir), read_table(spark, sf_dir, "mix_target"))
+
+
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = read_table(spark, sf_dir, "canonical_entry").filter("field_name = 'brand_name'").select("canonical_name")
@@ -78,7 +87,7 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _subjects(spark, sf_dir).groupBy("subject_id").agg(F.count("*").alias("n_documents"), F.sum("n_about").alias("n_sentences"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p3_found": p3_found, "p3_percentiles": p3_percentiles, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p9_found": p9_found, "p9_composition": p9_composition}
+QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p3_found": p3_found, "p3_percentiles": p3_percentiles, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_composition": p9_composition}
 
 _ONCE = "SELECT any_value(model_version) AS model_version, any_value(started_at) AS started_at, any_value(cache_hit) AS cache_hit, any_value(total_duration_ms) AS total_duration_ms, any_value(vision_duration_ms) AS vision_duration_ms FROM metrics GROUP BY evaluation_id"
 _LONG = f"SELECT model_version, strftime(date_trunc('week', started_at AT TIME ZONE 'UTC'), '%Y-%m-%d') AS week_start, cache_hit::BIGINT AS cache_hit, metric_name, value FROM (UNPIVOT ({_ONCE}) ON total_duration_ms, vision_duration_ms INTO NAME metric_name VALUE value) WHERE value > 0 AND model_version IS NOT NULL AND cache_hit IS NOT NULL"
