@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayist.llm import addresses, canonical, dyadic, leakage, mixing, subjects, transducer
+from assayist.llm import addresses, canonical, dyadic, leakage, mixing, sql, subjects, transducer
 from assayist.session import read_table, spread, written
 
 _FINDING = ["finding_id", "field_name", "extracted_value", "expected_value"]
@@ -92,5 +92,7 @@ QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p3_found": p3_found, "p3
 _ONCE = "SELECT any_value(model_version) AS model_version, any_value(started_at) AS started_at, any_value(cache_hit) AS cache_hit, any_value(total_duration_ms) AS total_duration_ms, any_value(vision_duration_ms) AS vision_duration_ms FROM metrics GROUP BY evaluation_id"
 _LONG = f"SELECT model_version, strftime(date_trunc('week', started_at AT TIME ZONE 'UTC'), '%Y-%m-%d') AS week_start, cache_hit::BIGINT AS cache_hit, metric_name, value FROM (UNPIVOT ({_ONCE}) ON total_duration_ms, vision_duration_ms INTO NAME metric_name VALUE value) WHERE value > 0 AND model_version IS NOT NULL AND cache_hit IS NOT NULL"
 ORACLE = {
+    "p1_found": sql.p1_found(),
+    "p7_found": sql.p7_found(),
     "p3_found": f"SELECT model_version, week_start, cache_hit, metric_name, pct::BIGINT AS pct FROM (SELECT model_version, week_start, cache_hit, metric_name, count(*) AS n, count(*) FILTER (WHERE value <= 5000) AS le FROM ({_LONG}) GROUP BY ALL) CROSS JOIN (VALUES (50), (90)) AS p(pct) WHERE n >= 40 AND le < ceil(pct * n / 100.0)",
 }
