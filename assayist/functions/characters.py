@@ -30,7 +30,7 @@ LOOKALIKES: dict[str, str] = {
     # Latin letters outside the basic block
     "ɡ": "g", "ɑ": "a", "ꓲ": "I", "ѡ": "w", "ꜱ": "s", "ᴄ": "c", "ᴏ": "o", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꞵ": "B", "ı": "i", "ȷ": "j",
     # signs
-    "‐": "-", "‑": "-", "⁄": "/", "∕": "/", "∣": "|", "ǃ": "!", "‚": ",", "․": ".", "꞉": ":", "∶": ":", "ː": ":", "⁎": "*", "∗": "*", "˜": "~", "∼": "~",
+    "‐": "-", "‑": "-", "⁄": "/", "∕": "/", "ǃ": "!", "‚": ",", "․": ".", "꞉": ":", "∶": ":", "ː": ":", "⁎": "*", "∗": "*", "˜": "~",
 }
 
 #: Letters that a capital or bold reading of the small form may confuse but a reader tells apart: kept out of the visible form.
