@@ -187,7 +187,7 @@ def compared(records: DataFrame) -> DataFrame:
     a, b = (lambda f, s=s: F.col(f"{s}_{f}") for s in "ab")
     wide = F.levenshtein(a("name"), b("name"), 3) >= 0
     levels = {
-        "name": _level(a("name"), b("name"), wide & (F.least(F.length(a("name")), F.length(b("name"))) >= 5)), "type": _level(a("type"), b("type")), "direction": _level(a("direction"), b("direction")),
+        "name": _level(a("name"), b("name"), _typed(a("name"), b("name")) | (wide & (F.least(F.length(a("name")), F.length(b("name"))) >= 6))), "type": _level(a("type"), b("type")), "direction": _level(a("direction"), b("direction")),
         "town": _level(a("town"), b("town"), F.levenshtein(a("town"), b("town"), 3) >= 0), "state": _level(a("state"), b("state")), "zip": _level(a("zip"), b("zip"), _letters(a("zip")) == _letters(b("zip"))),
     }
     return p.select("a", "b", *(v.alias(f"l_{k}") for k, v in levels.items()), _typed(a("town"), b("town")).alias("town_typed"), _typed(a("zip"), b("zip")).alias("zip_typed"))
@@ -196,13 +196,17 @@ def compared(records: DataFrame) -> DataFrame:
 LEVELS = ["l_name", "l_type", "l_direction", "l_town", "l_state", "l_zip"]
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, error: float = 0.02) -> dict[tuple[int, ...], float]:
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, error: float = 0.02, prior: float = 50.0) -> dict[tuple[int, ...], float]:
     """EM of the Fellegi-Sunter model over counted patterns of levels; gives each pattern's probability of a match.
 
-    Among matches a component may differ with probability ``error`` at most, else the classes would part by town alone.
+    Among matches a component may differ with probability ``error`` at most, else the classes would part by town alone. The starting weights count as ``prior`` pairs, so that a handful of pairs
+    doesn't overturn them.
     """
-    width = len(patterns[0][0]) if patterns else 0
-    share, m, u = 0.5, [[0.7, 0.15, 0.03, 0.12]] * width, [[0.25, 0.1, 0.53, 0.12]] * width
+    if not patterns:
+        return {}
+    width = len(patterns[0][0])
+    start = ([0.7, 0.15, 0.03, 0.12], [0.25, 0.1, 0.53, 0.12])
+    share, m, u = 0.5, [start[0]] * width, [start[1]] * width
     post: dict[tuple[int, ...], float] = {}
     for _ in range(rounds):
         for x, _n in patterns:
@@ -211,7 +215,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, erro
             post[x] = 1 / (1 + math.exp(min(500.0, lu - lm)))
         wm, wu = sum(n * post[x] for x, n in patterns), sum(n * (1 - post[x]) for x, n in patterns)
         share = min(max(wm / (wm + wu), 1e-6), 1 - 1e-6)
-        m, u = ([[(0.5 + sum(n * g(post[x]) for x, n in patterns if x[i] == v)) / (2 + w) for v in range(4)] for i in range(width)] for g, w in ((lambda p: p, wm), (lambda p: 1 - p, wu)))
+        m, u = ([[(prior * a[v] + sum(n * g(post[x]) for x, n in patterns if x[i] == v)) / (prior + w) for v in range(4)] for i in range(width)] for g, w, a in ((lambda p: p, wm, start[0]), (lambda p: 1 - p, wu, start[1])))
         m = [[v if j != 2 else min(v, error) for j, v in enumerate(x)] for x in m]
         m = [[v / sum(x) for v in x] for x in m]
     return post

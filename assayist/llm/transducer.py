@@ -69,7 +69,7 @@ class Transducer:
     def _run(self, m: re.Match) -> str:
         text = m[0]
         if (out := self.runs.get(text)) is None:
-            out = self.scan.sub(self._cluster, text)
+            out = unicodedata.normalize("NFC", self.scan.sub(self._cluster, text))  # letters put together of several that are no marks
             if len(text) <= 64 and len(self.runs) < 200_000:
                 self.runs[text] = out
         return out
