@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayist.functions.text import uncertain_code
@@ -65,8 +65,9 @@ def headline(findings: DataFrame, keys: list[str], disposition: str, code: str,
 def deciding(findings: DataFrame, keys: list[str], disposition: str, explained: Column, position: str) -> DataFrame:
     """The finding that decides: fail before review before pass, one with an explanation first, then by position."""
     rank = F.when(F.col(disposition) == FAIL, 0).when(F.col(disposition) == REVIEW, 1).otherwise(2)
-    w = Window.partitionBy(*keys).orderBy(rank, F.when(explained, 0).otherwise(1), position)
-    return findings.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    rest = [c for c in findings.columns if c not in keys]
+    order = F.struct(rank, F.when(explained, 0).otherwise(1), F.col(position))
+    return findings.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_best")).select(*keys, "_best.*").select(*findings.columns)
 
 
 def scoreboard(labels: DataFrame, disposition: str) -> DataFrame:

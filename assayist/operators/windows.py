@@ -51,9 +51,13 @@ def upserted(df: DataFrame, keys: list[str], seq: str, value: str) -> DataFrame:
 
 
 def merged_faces(obs: DataFrame, keys: list[str], ranks: list[Column], position: Column) -> DataFrame:
-    """One observation of each field: the highest by ``ranks``, on a tie the one on the earlier face."""
-    w = Window.partitionBy(*keys).orderBy(*(r.desc_nulls_last() for r in ranks), position)
-    return obs.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """One observation of each field: the highest by ``ranks`` (nulls last), on a tie the one at the earlier ``position``.
+
+    An aggregate, not a window: a hot field is combined map-side. ``position`` has to tell the rows of a field apart.
+    """
+    order = F.struct(*(F.struct(r.isNull(), -r.cast("double")) for r in ranks), position)
+    rest = [c for c in obs.columns if c not in keys]
+    return obs.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_best")).select(*keys, "_best.*").select(*obs.columns)
 
 
 def first_readable(obs: DataFrame, keys: list[str], value: str, position: Column) -> DataFrame:

@@ -148,7 +148,7 @@ def brand_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def designation_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declared and read designations of every class finding, against the canonical classes."""
-    classes = [" ".join(r[0].lower().split()) for r in read_table(spark, sf_dir, "canonical_entry").filter("field_name = 'class_type'").select("canonical_name").limit(1000).collect()]
+    classes = [" ".join(r[0].lower().split()) for r in read_table(spark, sf_dir, "canonical_entry").filter("field_name = 'class_type'").select("canonical_name").collect()]
     f = read_table(spark, sf_dir, "field_finding").filter("field_name = 'class_type'")
     v = validators.run("designation", validators.Inputs(F.col("extracted_value"), F.col("expected_value"), parameters={"classes": classes}))
     return f.select("finding_id", v.alias("v")).select("finding_id", "v.outcome", "v.code")
@@ -208,12 +208,12 @@ def deciding_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdict.deciding(f, ["evaluation_id"], "disposition", F.col("reason_code").isNotNull(), "finding_id").select("evaluation_id", "finding_id")
 
 
-_RECUR = "SELECT *, len(list_filter(list(coalesce(disposition, '')) OVER (PARTITION BY batch_id ORDER BY queue_position NULLS FIRST, delivery_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), lambda x: x = disposition)) AS times FROM batch_message"
+_RECUR = "SELECT *, len(list_filter(list(coalesce(disposition, '')) OVER (PARTITION BY batch_id ORDER BY queue_position NULLS FIRST, delivery_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), lambda x: x = disposition)) AS times FROM batch_message WHERE batch_id IS NOT NULL"
 
 
 @query(f"SELECT delivery_id, times::BIGINT AS times FROM ({_RECUR}) WHERE disposition IS NOT NULL AND times >= 5")
 def anomaly_m_of_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = read_table(spark, sf_dir, "batch_message").select("batch_id", "queue_position", "delivery_id", "disposition")
+    m = read_table(spark, sf_dir, "batch_message").filter("batch_id is not null").select("batch_id", "queue_position", "delivery_id", "disposition")
     return windows.recurring(m, "batch_id", ["queue_position", "delivery_id"], "disposition").select("delivery_id", F.col("times").cast("bigint").alias("times"))
 
 
