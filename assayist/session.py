@@ -50,6 +50,14 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def spread(df: DataFrame, *keys: Column | str) -> DataFrame:
-    """Spread the rows over all shuffle partitions: for small files ahead of costly work per row."""
-    return df.repartition(shuffle_partitions(df.sparkSession), *keys)
+def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` if it has at most ``limit`` rows; an error for a table that is too large to be sent to every worker."""
+    if (n := df.limit(limit + 1).count()) > limit:
+        raise ValueError(f"more than {limit} rows ({n} or more) in a table that every worker gets")
+    return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan of fewer partitions than cores over the cluster, ahead of costly work per row; else ``df`` as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(max(cores, shuffle_partitions(df.sparkSession)))
