@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayist.functions import text as X
-from assayist.operators import engine, layout, validators, verdict, windows
+from assayist.operators import engine, layout, projections, validators, verdict, windows
 from assayist.session import read_table, shared_dir
 from assayist.sources.readers import batch_items
 from assayist.sources.sinks import blanked
@@ -389,3 +389,29 @@ def verified_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = read_table(spark, sf_dir, "field_finding").select("evaluation_id", "field_name", "extracted_value")
     results = engine.checked(f, _PACK, lambda r: validators.Inputs(F.col("extracted_value"), seen=F.lit(False), parameters=r["parameters"]))
     return results.groupBy("evaluation_id").agg(verdict.lattice(verdict.rule_disposition(F.col("outcome"), F.col("severity"))).alias("disposition"), F.count("*").alias("n_results"))
+
+
+@query("SELECT application_id, concat_ws(', ', nullif(trim(street), ''), nullif(trim(city), ''), nullif(trim(state), ''), nullif(trim(zip), '')) AS address FROM (SELECT application_id, CASE WHEN trim(street) <> '' THEN street END AS street, CASE WHEN trim(city) <> '' THEN city END AS city, CASE WHEN trim(state) <> '' THEN state END AS state, CASE WHEN trim(zip) <> '' THEN zip END AS zip FROM application)")
+def reading_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [F.trim(F.col(c)) for c in ("street", "city", "state", "zip")]
+    return read_table(spark, sf_dir, "application").select("application_id", projections.reading_text(parts).alias("address"))
+
+
+_SLOTS = {"brand_name": "name", "class_type": "class", "alcohol_content": "strength", "net_contents": "volume"}
+
+
+@query(f"SELECT slot, count(*) AS n FROM (SELECT CASE field_name {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _SLOTS.items())} END AS slot FROM field_finding) GROUP BY 1")
+def field_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "field_finding").groupBy(projections.slot(F.col("field_name"), _SLOTS).alias("slot")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT finding_id, 'vr/' || rule_id AS trace_id, disposition, NULL::VARCHAR AS evidence_ref FROM field_finding UNION ALL
+  SELECT finding_id, 'rc/' || rule_id, disposition, 'reason_code/' || reason_code FROM field_finding WHERE disposition <> 'pass' AND reason_code IS NOT NULL""")
+def audit_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projections.trace(read_table(spark, sf_dir, "field_finding"), ["finding_id"])
+
+
+@query("SELECT application_id, CASE WHEN nullif(trim(type_of_product), '') IS NULL AND (nullif(trim(brand_name), '') IS NOT NULL OR nullif(trim(fanciful_name), '') IS NOT NULL) THEN 'no type' WHEN nullif(trim(type_of_product), '') NOT IN ('wine', 'malt_beverages') THEN 'unknown type' END AS fault FROM application")
+def form_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    app = read_table(spark, sf_dir, "application").select("application_id", "type_of_product", "brand_name", "fanciful_name")
+    return projections.form_record(app, ["type_of_product", "brand_name", "fanciful_name"], "type_of_product", ["wine", "malt_beverages"]).select("application_id", "fault")
