@@ -138,9 +138,9 @@ def mixed(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: i
     plan = {source: (float(share), int(most)) for source, share, most in targets.filter("target_share > 0 and max_repeats > 0").select(source_name(F.col("source")), "target_share", "max_repeats").collect()}
     wanted = docs.filter(F.length("text") > 0).select("doc_id", source_name(F.col("source")).alias("source"), F.md5("text").alias("content")).filter(F.col("source").isin(list(plan)))
     contents = wanted.groupBy("content").agg(F.array_sort(F.collect_set("source")).alias("pattern"), F.min("doc_id").alias("doc_id"))
-    sized = written(docs.select("doc_id", "text").join(contents.select("doc_id", "pattern"), "doc_id").select("doc_id", F.concat_ws("|", "pattern").alias("pattern"), token_counts(tokenizer)("text").alias("tokens")).filter("tokens > 0"), "sized")
+    sized = written(docs.select("doc_id", "text").join(contents.select("doc_id", "pattern"), "doc_id").select("doc_id", F.concat_ws("|", "pattern").alias("pattern"), token_counts(tokenizer)("text").alias("tokens")), "sized")
     order = F.xxhash64(F.lit(seed), "doc_id")
-    sized = sized.select("*", order.alias("h"), F.pmod(F.shiftrightunsigned(order, 40).cast("int"), F.lit(BUCKETS)).alias("bucket"))
+    sized = sized.filter("tokens > 0").select("*", order.alias("h"), F.pmod(F.shiftrightunsigned(order, 40).cast("int"), F.lit(BUCKETS)).alias("bucket"))
     patterns = {tuple(r["pattern"].split("|")): int(r["t"]) for r in sized.groupBy("pattern").agg(F.sum("tokens").alias("t")).collect()}
     _, flows = route(patterns, plan, largest_total(patterns, plan) if total is None else total)
     tape, at = [], {}
