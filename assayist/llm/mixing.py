@@ -89,6 +89,7 @@ class Flow:
 
 def route(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float, int]], total: int) -> tuple[int, dict[tuple[tuple[str, ...], str], int]]:
     """Tokens routed from each pattern to each source, for quotas of share * total; and their sum."""
+    patterns = dict(sorted(patterns.items()))  # among flows of equal cost, always the same one
     g, names, arcs = Flow(), sorted(targets), {}
     node = {x: i + 2 for i, x in enumerate([*patterns, *names])}
     for p, tokens in patterns.items():

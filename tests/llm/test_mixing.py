@@ -10,6 +10,7 @@ def test_flow_spreads_repetition():
     assert total == 240 and sum(f for (p, s), f in flows.items() if s == "a") == 120 and sum(f for (p, s), f in flows.items() if s == "b") == 120
     assert all(sum(f for (q, _), f in flows.items() if q == p) <= t for p, t in patterns.items())  # nothing is used twice
     assert largest_total(patterns, targets) in (750, 751)
+    assert route(dict(reversed(patterns.items())), targets, 240) == (total, flows)
     assert largest_total({}, targets) == 0
 
 
