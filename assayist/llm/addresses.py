@@ -244,7 +244,7 @@ def located(rows: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
     Records are numbered by a hash of their components, so that they come out alike after a lost task.
     """
     one = rows.select(F.col(id_col).alias("id"), parsed("street", "city", "state", "zip").alias("p"))
-    parts = written(one.filter(F.col("p").isNotNull()).select("id", "p.*"), "parsed")
+    parts = written(one, "parsed").filter(F.col("p").isNotNull()).select("id", "p.*")  # filtered behind the function, else it runs twice
     full = completed(parts)
     rec = F.xxhash64(*(F.coalesce(F.col(f), F.lit("\0")) for f in FIELDS))
     members = written(full.select("id", rec.alias("rec"), *FIELDS), "members")
