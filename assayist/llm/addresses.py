@@ -187,7 +187,7 @@ def compared(records: DataFrame) -> DataFrame:
     a, b = (lambda f, s=s: F.col(f"{s}_{f}") for s in "ab")
     wide = F.levenshtein(a("name"), b("name"), 3) >= 0
     levels = {
-        "name": _level(a("name"), b("name"), _typed(a("name"), b("name")) | (wide & (F.least(F.length(a("name")), F.length(b("name"))) >= 6))), "type": _level(a("type"), b("type")), "direction": _level(a("direction"), b("direction")),
+        "name": _level(a("name"), b("name"), _typed(a("name"), b("name")) | (wide & (F.least(F.length(a("name")), F.length(b("name"))) >= 5))), "type": _level(a("type"), b("type")), "direction": _level(a("direction"), b("direction")),
         "town": _level(a("town"), b("town"), F.levenshtein(a("town"), b("town"), 3) >= 0), "state": _level(a("state"), b("state")), "zip": _level(a("zip"), b("zip"), _letters(a("zip")) == _letters(b("zip"))),
     }
     return p.select("a", "b", *(v.alias(f"l_{k}") for k, v in levels.items()), _typed(a("town"), b("town")).alias("town_typed"), _typed(a("zip"), b("zip")).alias("zip_typed"))
