@@ -358,6 +358,13 @@ def word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", X.has_run(X.norm_words(F.col("text")), F.array(F.lit("net"), F.lit("contents"), F.lit("line"))).alias("has_run"))
 
 
+@query()
+def word_runs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every document, accents, widths and look-alikes folded; ``word_runs`` is the part of it that DuckDB folds alike. A null text has a null."""
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", X.has_run(X.norm_words(F.col("text")), F.array(F.lit("net"), F.lit("contents"), F.lit("line"))).alias("has_run"))
+
+
 @query("SELECT finding_id, try_cast(regexp_extract(extracted_value, '[0-9]+(?:\\.[0-9]+)?', 0) AS DOUBLE) AS number FROM field_finding WHERE field_name = 'net_contents'")
 def first_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "field_finding").filter("field_name = 'net_contents'").select("finding_id", X.first_number(F.col("extracted_value")).alias("number"))
