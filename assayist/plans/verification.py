@@ -137,6 +137,14 @@ def jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("finding_id", F.round(X.jaro_winkler(F.lower("extracted_value"), F.lower("expected_value")), 6).alias("similarity"))
 
 
+@query()
+def jaro_winkler_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every brand finding with two values, in plain letters; ``jaro_winkler`` is the part of it in printable ASCII, where DuckDB's bytes are letters. What shows no letter is like nothing."""
+    folded = lambda c: F.lower(X.plain(F.col(c)))
+    f = read_table(spark, sf_dir, "field_finding").filter("field_name = 'brand_name' and extracted_value <> '' and expected_value <> ''").select("finding_id", folded("extracted_value").alias("a"), folded("expected_value").alias("b"))
+    return f.select("finding_id", F.when((F.col("a") == "") | (F.col("b") == ""), 0.0).otherwise(F.round(X.jaro_winkler("a", "b"), 6)).alias("similarity"))
+
+
 @query()
 def brand_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole brand cascade over both values of every brand finding."""
