@@ -21,6 +21,8 @@ from assayist.functions.characters import plain_text
 
 #: Millilitres in a unit of volume (US liquid measures).
 ML = {"ml": 1.0, "cl": 10.0, "dl": 100.0, "l": 1000.0, "floz": 29.5735295625, "pint": 473.176473, "quart": 946.352946, "gallon": 3785.411784}
+#: Units that may make up one amount, the second smaller than the first.
+KINDS = ({"l", "dl", "cl", "ml"}, {"gallon", "quart", "pint", "floz"})
 #: The spellings of a unit of volume.
 SPELLED = {
     "ml": r"millilit(?:er|re)s?|mls?\b\.?|cc\b", "cl": r"centilit(?:er|re)s?|cls?\b\.?", "dl": r"decilit(?:er|re)s?|dls?\b\.?", "l": r"lit(?:er|re)s?|ltrs?\b\.?|l\b\.?",
@@ -29,14 +31,16 @@ SPELLED = {
 #: Per cent of alcohol by volume in a scale.
 ABV = {"percent": 1.0, "proof": 0.5, "ml/l": 0.1, "fraction": 100.0}
 
-_NUM = r"(?<![\d.,/])(\d+\s+\d+/\d+|\d+/\d+|\d+(?:[.,]\d+)*|\.\d+)"
+#: A point after a letter is punctuation ("Alc.40%"), not a decimal mark; after "fraction" it is one.
+_NUM = r"(?:(?<![\d.,/])|(?<=[a-z]\.))(\d+\s+\d+/\d+|\d+/\d+|\d+(?:[.,]\d+)*|(?<![a-z.])\.\d+)"
+_PART = r"(?<![\d.,/])(\d+/\d+|\d+(?:[.,]\d+)*|\.\d+)"
 _UNITS = "|".join(SPELLED.values())
 _ONE = rf"{_NUM}\s*-?\s*({_UNITS})(?![a-z])"
 _TWO = rf"{_ONE}\s*(?:,|&|and)?\s*{_NUM}\s*({_UNITS})(?![a-z])"
 _PER_LITRE = rf"{_NUM}\s*(?:ml|millilit(?:er|re)s?)\s*(?:of\s+)?(?:alcohol|ethanol)?\s*(?:/|per)\s*(?:l\b|lit)"
 _DEGREE = r"(?:degrees?|deg\.?|°|º)?\s*"
-_PROOF = rf"{_NUM}\s*{_DEGREE}(?:u\.?\s*s\.?\s*)?{_DEGREE}proof|proof\s*[:=]?\s*{_NUM}"
-_FRACTION = rf"fraction[^\d.]*{_NUM}|{_NUM}[^\d]*fraction"
+_PROOF = rf"{_NUM}\s*{_DEGREE}(?:u\.?\s*s\.?\s*)?{_DEGREE}proof|proof\s*[.:=]?\s*{_NUM}"
+_FRACTION = rf"fraction[^\d.]*{_PART}|{_NUM}[^\d]*fraction"
 _PERCENT = rf"{_NUM}\s*(?:%|percent\b|per\s+cent\b|pct\b)"
 _HALF = rf"\bhalf(?:\s+an?)?\s+(?=(?:{_UNITS})(?![a-z]))"
 _SINGLE = rf"\b(?:one|an?)\s+(?=(?:{_UNITS})(?![a-z]))"
@@ -65,14 +69,14 @@ def _text(value: str) -> str:
 
 
 def read_volume(value: str) -> list[tuple[float, str]]:
-    """Readings in millilitres of a text. "3 pt. 2.7 fl. oz." is one amount, in pints."""
+    """Readings in millilitres of a text. "3 pt. 2.7 fl. oz." is one amount, in pints; a metric one may be said twice ("75 cl 750 ml")."""
     t = _text(value)
     if not (m := re.search(_TWO, t) or re.search(_ONE, t)) or not (unit := _unit(m[2])):
         return []
     more = 0.0
-    if m.lastindex == 4 and (second := _unit(m[4])) in ("floz", "pint", "quart") and unit in ("pint", "quart", "gallon") and ML[second] < ML[unit]:
+    if m.lastindex == 4 and (second := _unit(m[4])) and any({second, unit} <= k for k in KINDS) and ML[second] < ML[unit]:
         more = ML[second] * next(iter(_number(m[3])), 0.0)
-    return [(x * ML[unit] + more, unit) for x in _number(m[1])]
+    return [(a if unit in KINDS[0] and abs(a - more) <= 0.01 * a else a + more, unit) for x in _number(m[1]) for a in (x * ML[unit],)]
 
 
 def read_alcohol(value: str) -> list[tuple[float, str]]:

@@ -43,3 +43,22 @@ def test_identity_of_three_columns(spark):
     twice = solve_identity(df.select("id", F.expr("array(named_struct('amount', 1d, 'unit', 'a'), named_struct('amount', 1d, 'unit', 'b'))").alias("x"), F.expr("array(named_struct('amount', 1d, 'unit', 'c'))").alias("y")), {"x": 1, "y": -1}).first().solved
     assert twice.fits and not twice.unique and twice.units == ["a", "c"]
     assert set(ABV) == {"percent", "proof", "ml/l", "fraction"}
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("1 L 500 mL", (1500.0, "l")), ("1 litre and 25 cl", (1250.0, "l")), ("75 cl 5 ml", (755.0, "cl")), ("1 PT 16.0 fl. oz.", (2 * ML["pint"], "pint")), ("1 gal 1 qt", (ML["gallon"] + ML["quart"], "gallon")), ("75 cl, 750 ml", (750.0, "cl")), ("0.75 L 750 mL", (750.0, "l")), ("1 L, 33.8 fl oz", (1000.0, "l")),
+    ("Net.750 mL", (750.0, "ml")), ("Net .75 L", (750.0, "l")), ("CONT.1.5 L", (1500.0, "l")),
+])
+def test_second_part_and_point_after_a_letter(text, want):
+    (amount, unit), = read_volume(text)
+    assert unit == want[1] and math.isclose(amount, want[0])
+
+
+@pytest.mark.parametrize(("text", "want"), [("Alc.40% vol", (40.0, "percent")), ("Alc. .5% vol", (0.5, "percent")), ("Proof.80", (40.0, "proof")), ("vol.fraction.4", (40.0, "fraction"))])
+def test_alcohol_after_a_point(text, want):
+    assert read_alcohol(text) == [want]
+
+
+def test_compound_metric_amount_is_equal(spark):
+    df = spark.createDataFrame([(1, "net_contents", "1 L 500 mL", "150 cl"), (2, "net_contents", "1 L 500 mL", "1000 ml"), (3, "alcohol_content", "Alc.40% vol", "80 proof")], "finding_id bigint, field_name string, extracted_value string, expected_value string")
+    assert sorted(r.finding_id for r in equal_amounts(df).collect()) == [1, 3]
