@@ -23,7 +23,13 @@ from assayist.llm.transducer import visible_form
 
 #: Items in one automaton; more items are taken in several passes.
 ITEMS = 20_000
-_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
+#: Elements of HTML; attributes without a value.
+ELEMENTS = "a abbr acronym address applet area article aside audio b base basefont bdi bdo big blink blockquote body br button canvas caption center cite code col colgroup data datalist dd del details dfn dialog dir div dl dt em embed fieldset figcaption figure font footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html i iframe img input ins kbd label legend li link main map mark marquee menu meta meter nav nobr noframes noscript object ol optgroup option output p param picture pre progress q rp rt ruby s samp script search section select slot small source span strike strong style sub summary sup svg table tbody td template textarea tfoot th thead time title tr track tt u ul var video wbr"
+BARE = "async autofocus autoplay checked compact controls default defer disabled download hidden inert ismap itemscope loop multiple muted nohref noresize noshade novalidate nowrap open readonly required reversed selected"
+_NAME, _QUOTED = r"[a-z][\w:.-]*+", r"""\s*+=\s*+(?:"[^"]*+"|'[^']*+')"""
+_ATTRIBUTE = rf"""\s++(?:[a-z_:@][\w:.@-]*+(?:{_QUOTED}|\s*+=\s*+[^\s"'=<>`]++)|(?:{'|'.join(BARE.split())})(?![\w=-]))"""
+#: Markup: known elements, or others that can't be a text in angle brackets (closing, empty, or with quoted attributes). Other brackets are punctuation.
+_TAG = re.compile(rf"</{_NAME}\s*+>|<(?:{'|'.join(ELEMENTS.split())})(?![\w:.-])(?:{_ATTRIBUTE})*+\s*+/?>|<{_NAME}(?:\s++{_NAME}{_QUOTED})++\s*+/?>|<{_NAME}\s*+/>", re.I)
 _WORD = re.compile(r"[^\W_]+")
 
 

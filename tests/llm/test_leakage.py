@@ -62,3 +62,14 @@ def test_rows(spark):
     assert sorted((r.doc_id, r.item_id) for r in leaks(docs, items).collect()) == [(1, 7), (4, 7), (5, 7)]
     assert leaks(docs, items.limit(0)).count() == 0 and leaks(docs.limit(0), items).count() == 0
     assert letters("A-b <b>c</b>")[0] == "abc" and re.fullmatch(r"\w+", letters(ITEM)[0])
+
+
+@pytest.mark.parametrize("text", [
+    f"<{ITEM}>", f"if a <b then {ITEM} and c> d", f"x <Suppose> {ITEM}", f"<b {ITEM}>", " <em class='x y' hidden>".join(WORDS[:12]), ' <br data-k=1 />'.join(WORDS[:12]), ' <o:p a="b c">'.join(WORDS[:12]), " </foo>".join(WORDS[:12]), " <foo/>".join(WORDS[:12]),
+])
+def test_only_markup_is_left_out(text):
+    assert [i for i, _, w in Matcher([(1, ITEM)]).find(text) if w >= 12] == [1]
+
+
+def test_long_open_brackets_take_no_time():
+    assert letters("<b " + "a='1' " * 50_000 + "<" * 50_000)[0].startswith("ba1a1")
