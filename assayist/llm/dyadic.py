@@ -4,6 +4,7 @@ A value is encoded to a whole number that keeps its order and its leading ``mant
 2**-mantissa). For each binary resolution of the code there is one signed Count-sketch (resolutions with fewer cells than
 a sketch has counters are counted exactly). Sketches are arrays of whole numbers: they are merged by addition over files,
 days or partitions, and a value is deleted by adding it with weight -1. A rank is inverted by descending the resolutions.
+A sketch of few codes is stored as those codes and their weights, which are added like the counters that they stand for.
 
 In a plan: values are counted by (group, piece, code) with a map-side combine, so a hot group collapses before the
 shuffle and no task sees more than the codes of one piece; each piece becomes one sketch of fixed size.
@@ -11,6 +12,7 @@ shuffle and no task sees more than the codes of one piece; each piece becomes on
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayist.session import small, written
+
 
 @dataclass(frozen=True)
 class Shape:
@@ -41,11 +45,17 @@ class Shape:
     def length(self, level: int) -> int:
         return self.cells(level) if self.exact(level) else self.depth * self.width
 
+    @property
+    def size(self) -> int:
+        """Counters of all levels."""
+        return sum(map(self.length, range(self.levels + 1)))
+
     def encode(self, v: Column) -> Column:
-        """Code of a whole number > 0, in the JVM."""
+        """Code of a whole number > 0, in the JVM; a value that the shape has no code for is an error, never another code."""
         v = v.cast("bigint")
         e = F.greatest(F.length(F.bin(v)) - F.lit(self.mantissa + 1), F.lit(0))
-        return (e * F.lit(1 << self.mantissa) + F.call_function("shiftright", v, e)).cast("int")
+        code = (e * F.lit(1 << self.mantissa) + F.call_function("shiftright", v, e)).cast("int")
+        return F.when(v < F.lit(1 << self.value_bits), code).otherwise(F.raise_error(F.concat(F.lit(f"a value of more than {self.value_bits} bits needs a wider shape: "), v.cast("string"))).cast("int"))
 
     def code(self, v: int) -> int:
         e = max(int(v).bit_length() - self.mantissa - 1, 0)
@@ -66,6 +76,9 @@ def _hash(items: np.ndarray, level: int, row: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+_DENSE, _SPARSE = b"counters", b"codes\0\0\0"
+
+
 class Sketch:
     """One dyadic Count-sketch. ``data``: the counters of all levels, one after the other."""
 
@@ -75,8 +88,26 @@ class Sketch:
         self.data = np.zeros(self.at[-1], np.int64) if data is None else data
 
     @classmethod
-    def of(cls, shape: Shape, blob: bytes) -> Sketch:
-        return cls(shape, np.frombuffer(blob, np.int64).copy())
+    def of(cls, shape: Shape, blobs: Iterable[bytes]) -> Sketch:
+        """The sum of stored sketches: counters are added, codes of small ones are added as values."""
+        out, sparse = cls(shape), []
+        for blob in blobs:
+            body = np.frombuffer(blob, np.int64, offset=8)
+            if blob[:8] == _DENSE:
+                out.data += body
+            else:
+                sparse.append(body.reshape(2, -1))
+        if sparse:
+            out.add(*np.concatenate(sparse, axis=1))
+        return out
+
+    @classmethod
+    def stored(cls, shape: Shape, codes: np.ndarray, weights: np.ndarray) -> tuple[int, bytes]:
+        """(n, bytes) of the values: codes and weights if these are smaller than the counters."""
+        if 2 * len(codes) < shape.size:
+            return int(weights.sum()), _SPARSE + np.concatenate([codes, weights]).astype(np.int64).tobytes()
+        s = cls(shape).add(codes, weights)
+        return s.n, _DENSE + s.data.tobytes()
 
     def level(self, i: int) -> np.ndarray:
         return self.data[self.at[i] : self.at[i + 1]]
@@ -152,8 +183,8 @@ def sketches(counts: DataFrame, keys: list[str], shape: Shape = Shape()) -> Data
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.schema if f.name in keys)
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        s = Sketch(shape).add(rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
-        return pd.DataFrame([[*key, s.n, s.data.tobytes()]], columns=[*keys, "n", "sketch"])
+        n, blob = Sketch.stored(shape, rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
+        return pd.DataFrame([[*key, n, blob]], columns=[*keys, "n", "sketch"])
 
     return counts.select(*keys, "code", "n").groupBy(*keys).applyInPandas(build, f"{types}, n bigint, sketch binary")
 
@@ -162,16 +193,38 @@ def merged(pieces: DataFrame, keys: list[str], pcts: list[int], shape: Shape = S
     """Add the sketches of each group and read percentiles off.
 
     One row for each group and percentage: n, value (upper end of the code's values), rank_error, and, with ``above``,
-    n_below: the estimated number of values at or below that number's code. ``keys`` must leave few pieces a group.
+    n_least and n_most: estimates between which the number of values at or below it lies, up to rank_error. The two
+    differ by the values that share its code. ``keys`` must leave few pieces a group.
     """
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name in keys)
 
     def read(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = Sketch(shape, np.sum([np.frombuffer(b, np.int64) for b in rows["sketch"]], axis=0))
-        below = total.rank(shape.code(above)) if above is not None else None
-        return pd.DataFrame([[*key, p, total.n, shape.decode(total.quantile(max(1, -(-p * total.n // 100)))), total.error(), below] for p in pcts], columns=[*keys, "pct", "n", "value", "rank_error", "n_below"])
+        total = Sketch.of(shape, rows["sketch"])
+        c = None if above is None else shape.code(above)
+        least, most = (None, None) if c is None else (total.rank(c if shape.decode(c) > above else c + 1), total.rank(c + 1))
+        out = [[*key, p, total.n, shape.decode(total.quantile(max(1, -(-p * total.n // 100)))), total.error(), least, most] for p in pcts]
+        return pd.DataFrame(out, columns=[*keys, "pct", "n", "value", "rank_error", "n_least", "n_most"])
+
+    return pieces.select(*keys, "sketch").groupBy(*keys).applyInPandas(read, f"{types}, pct bigint, n bigint, value bigint, rank_error double, n_least double, n_most double")
 
-    return pieces.select(*keys, "sketch").groupBy(*keys).applyInPandas(read, f"{types}, pct bigint, n bigint, value bigint, rank_error double, n_below double")
+
+def above(counts: DataFrame, groups: list[str], piece: str, pcts: list[int], limit: int, least: int, at_most: str, shape: Shape = Shape()) -> DataFrame:
+    """(groups, pct) whose percentile lies above ``limit``, of groups with at least ``least`` values: the sketches decide.
+
+    ``counts``: see :func:`coded`, with ``at_most``, the number of values at or below the limit. A percentage is decided by
+    the merged sketches when their bound of the rank's error allows; only groups within that bound of the limit are
+    counted exactly.
+    """
+    t = merged(sketches(counts, [*groups, piece], shape), groups, pcts, shape, limit).filter(F.col("n") >= least)
+    need = F.ceil(F.col("pct") * F.col("n") / F.lit(100))
+    yes, no = F.col("n_most") + F.col("rank_error") < need, F.col("n_least") - F.col("rank_error") >= need
+    rated = written(t.filter(~no).select(*groups, "pct", need.alias("need"), yes.alias("sure")), "rated")
+    doubt = rated.filter(~F.col("sure"))
+    same = [counts[g].eqNullSafe(F.col(f"_d.{g}")) for g in groups]
+    exact = counts.join(small(doubt.select(groups).distinct()).alias("_d"), same, "left_semi").groupBy(*groups).agg(F.sum(at_most).alias("_at_most"))
+    e = exact.select(*(F.col(g).alias(f"_e_{g}") for g in groups), "_at_most")
+    checked = doubt.join(e, [F.col(g).eqNullSafe(F.col(f"_e_{g}")) for g in groups]).filter(F.col("_at_most") < F.col("need"))
+    return rated.filter("sure").select(*groups, "pct").unionByName(checked.select(*groups, "pct"))
 
 
 def unpivoted(metrics: DataFrame) -> DataFrame:

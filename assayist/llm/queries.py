@@ -26,21 +26,26 @@ _GROUP = ["model_version", "week_start", "cache_hit", "metric_name"]
 
 
 def p3_found(spark: SparkSession, sf_dir: str, limit: int = 5000, least: int = 40) -> DataFrame:
-    """Sketches of days, merged to weeks; groups that may lie above ``limit`` by the sketch are decided by exact counts."""
+    """Sketches of days, merged to weeks, decide; groups within the rank's error of the limit are counted exactly."""
     values = dyadic.unpivoted(read_table(spark, sf_dir, "metrics"))
     counts = written(dyadic.coded(values, _GROUP, "day", "value", at_most=F.when(F.col("value") <= limit, 1).otherwise(0)), "codes")
-    weeks = dyadic.merged(dyadic.sketches(counts, [*_GROUP, "day"]), _GROUP, [50, 90], above=limit)
-    target = F.ceil(F.col("pct") * F.col("n") / F.lit(100))
-    likely = weeks.filter((F.col("n") >= least) & (F.col("n_below") - F.col("rank_error") < target))
-    exact = counts.groupBy(*_GROUP).agg(F.sum("n").alias("n_all"), F.sum("at_most").alias("n_at_most"))
-    both = likely.join(exact, _GROUP)
-    return both.filter(F.col("n_at_most") < F.ceil(F.col("pct") * F.col("n_all") / F.lit(100))).select("model_version", "week_start", "cache_hit", "metric_name", "pct")
+    return dyadic.above(counts, _GROUP, "day", [50, 90], limit, least, "at_most")
 
 
 def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of every group from the merged sketches of its days, with the bound of the rank's error."""
     counts = dyadic.coded(dyadic.unpivoted(read_table(spark, sf_dir, "metrics")), _GROUP, "day", "value")
-    return dyadic.merged(dyadic.sketches(counts, [*_GROUP, "day"]), _GROUP, [50, 90, 99]).drop("n_below")
+    return dyadic.merged(dyadic.sketches(counts, [*_GROUP, "day"]), _GROUP, [50, 90, 99]).drop("n_least", "n_most")
+
+
+def p3_within_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the exact rank of each sketched percentile lies within the bound that comes with it."""
+    counts = written(dyadic.coded(dyadic.unpivoted(read_table(spark, sf_dir, "metrics")), _GROUP, "day", "value"), "codes")
+    sketched = dyadic.merged(dyadic.sketches(counts, [*_GROUP, "day"]), _GROUP, [50, 90, 99]).withColumn("code", dyadic.Shape().encode(F.col("value")))
+    codes = counts.groupBy(*_GROUP, F.col("code").alias("c")).agg(F.sum("n").alias("m"))
+    ranks = sketched.join(codes, _GROUP).groupBy(*_GROUP, "pct", "n", "code", "rank_error").agg(F.sum(F.when(F.col("c") < F.col("code"), F.col("m")).otherwise(0)).alias("below"), F.sum(F.when(F.col("c") <= F.col("code"), F.col("m")).otherwise(0)).alias("upto"))
+    need = F.ceil(F.col("pct") * F.col("n") / F.lit(100))
+    return ranks.select(*_GROUP, "pct", "n", ((F.col("below") - F.col("rank_error") < need) & (F.col("upto") + F.col("rank_error") >= need)).alias("within"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +92,7 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _subjects(spark, sf_dir).groupBy("subject_id").agg(F.count("*").alias("n_documents"), F.sum("n_about").alias("n_sentences"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p3_found": p3_found, "p3_percentiles": p3_percentiles, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_composition": p9_composition}
+QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p3_found": p3_found, "p3_percentiles": p3_percentiles, "p3_within_bound": p3_within_bound, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_composition": p9_composition}
 
 _ONCE = "SELECT any_value(model_version) AS model_version, any_value(started_at) AS started_at, any_value(cache_hit) AS cache_hit, any_value(total_duration_ms) AS total_duration_ms, any_value(vision_duration_ms) AS vision_duration_ms FROM metrics GROUP BY evaluation_id"
 _LONG = f"SELECT model_version, strftime(date_trunc('week', started_at AT TIME ZONE 'UTC'), '%Y-%m-%d') AS week_start, cache_hit::BIGINT AS cache_hit, metric_name, value FROM (UNPIVOT ({_ONCE}) ON total_duration_ms, vision_duration_ms INTO NAME metric_name VALUE value) WHERE value > 0 AND model_version IS NOT NULL AND cache_hit IS NOT NULL"
@@ -95,4 +100,5 @@ ORACLE = {
     "p1_found": sql.p1_found(),
     "p7_found": sql.p7_found(),
     "p3_found": f"SELECT model_version, week_start, cache_hit, metric_name, pct::BIGINT AS pct FROM (SELECT model_version, week_start, cache_hit, metric_name, count(*) AS n, count(*) FILTER (WHERE value <= 5000) AS le FROM ({_LONG}) GROUP BY ALL) CROSS JOIN (VALUES (50), (90)) AS p(pct) WHERE n >= 40 AND le < ceil(pct * n / 100.0)",
+    "p3_within_bound": f"SELECT model_version, week_start, cache_hit, metric_name, pct::BIGINT AS pct, count(*) AS n, true AS within FROM ({_LONG}) CROSS JOIN (VALUES (50), (90), (99)) AS p(pct) GROUP BY ALL",
 }

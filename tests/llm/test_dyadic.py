@@ -56,3 +56,51 @@ def test_plan(spark):
     assert [(r.week_start, r.pct, r.n) for r in sorted(out, key=lambda r: r.pct)] == [("2024-01-01", 50, 100), ("2024-01-01", 90, 100)]
     assert all(abs(r.value - r.pct) <= max(2, r.rank_error) for r in out)
     assert dyadic.unpivoted(df.limit(0)).count() == 0
+
+
+def test_small_sketches_are_codes_and_add_up_alike():
+    rng = np.random.default_rng(5)
+    few, many = rng.integers(1, 9000, 40), rng.integers(1, 9000, 5000)
+    blobs = [Sketch.stored(SHAPE, x, np.ones(len(x), np.int64)) for x in (few, many)]
+    assert [n for n, _ in blobs] == [40, 5000] and len(blobs[0][1]) < len(blobs[1][1]) == 8 * (SHAPE.size + 1)
+    both = np.concatenate([few, many])
+    assert (Sketch.of(SHAPE, [b for _, b in blobs]).data == Sketch(SHAPE).add(both, np.ones(len(both), np.int64)).data).all()
+    assert Sketch.of(SHAPE, []).n == 0
+
+
+def test_a_value_beyond_the_shape_is_refused(spark):
+    df = spark.createDataFrame([(2**41,)], "v bigint")
+    with pytest.raises(Exception, match="wider shape"):
+        df.select(SHAPE.encode(F.col("v"))).collect()
+    wide = Shape(value_bits=42)
+    assert df.select(wide.encode(F.col("v")).alias("c")).first().c == wide.code(2**41)
+
+
+def _counts(spark, seed, at_most=None):
+    rng = np.random.default_rng(seed)
+    rows = [(f"g{g}", int(d), int(v)) for g in range(12) for d, v in zip(rng.integers(0, 3, 400), rng.lognormal(8.3 + 0.02 * g, 0.3, 400), strict=True)] + [("g0", 0, 5000)] * 50 + [(None, 0, 5001)] * 60
+    values = spark.createDataFrame(rows, "g string, day int, value int")
+    return rows, dyadic.coded(values, ["g"], "day", "value", at_most=F.when(F.col("value") <= 5000, 1).otherwise(0) if at_most is None else F.lit(at_most))
+
+
+def _exact(rows, pcts, groups):
+    out = set()
+    for g in groups:
+        v = sorted(x for k, _, x in rows if k == g)
+        out |= {(g, p) for p in pcts if v[-(-p * len(v) // 100) - 1] > 5000}
+    return out
+
+
+def test_above_is_exact_and_the_sketches_decide(spark):
+    pcts = [25, 50, 75, 90]
+    rows, counts = _counts(spark, 3)
+    want = _exact(rows, pcts, {r[0] for r in rows})
+    run = lambda c: {tuple(r) for r in dyadic.above(c, ["g"], "day", pcts, 5000, 40, "at_most").collect()}
+    assert run(counts) == want
+    # with the exact counts spoilt only the groups within the rank's error of the limit change
+    t = dyadic.merged(dyadic.sketches(counts, ["g", "day"]), ["g"], pcts, above=5000).collect()
+    sure = {(r.g, r.pct) for r in t if r.n_most + r.rank_error < -(-r.pct * r.n // 100)}
+    assert len(sure) > 5 and run(_counts(spark, 3, 1)[1]) == sure
+    # and with the sketches spoilt (one counter a row) all are counted exactly
+    narrow = Shape(depth=1, width=1)
+    assert {tuple(r) for r in dyadic.above(counts, ["g"], "day", pcts, 5000, 40, "at_most", narrow).collect()} == want
