@@ -2,25 +2,26 @@
 
 Addresses are parsed into components (in Arrow batches, once for each distinct spelling), and the town of a post code and
 the post code of a town, as most rows have them, fill gaps. Equal component rows become one *record*; records are paired
-within blocks (house number with post code, with the sound of the street, with the street's first or last letters), and
-each pair becomes a pattern of agreement levels, missing among them. The patterns are counted, so the EM that estimates
-the weights works on a small table of bounded size. Pairs above the threshold pass an exact check of the components and
-are expanded to the rows that the records stand for.
+within blocks (house number with post code; house number with the street's sound, first or last letters and the town's sound or
+last letters; without a town, house number with the street), and each pair becomes a pattern of agreement levels, from
+the same over two grades of likeness to different, missing among them. The patterns are counted, so the EM that estimates
+the weights works on a table of at most 6**6 rows. The weights decide: a pair whose probability reaches the threshold is a link. Links of records are
+expanded to the rows that the records stand for.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from itertools import product
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayist.functions.characters import plain_text
-from assayist.session import BROADCAST_ROWS, small, written
+from assayist.session import small, written
 
 #: Postal codes of the states, and the names and older abbreviations that stand for them.
 STATES = {
@@ -155,10 +156,8 @@ def completed(rows: DataFrame) -> DataFrame:
     return filled.join(small(codes), ["town", "state"], "left").select(*keep, "town", "state", F.coalesce("zip", "zip_u").alias("zip"))
 
 
-def _level(a: Column, b: Column, near: Column | None = None) -> Column:
-    """0 the same, 1 near, 2 different, 3 missing on a side."""
-    out = F.when(a.isNull() | b.isNull(), 3).when(a == b, 0)
-    return (out.when(near, 1) if near is not None else out).otherwise(2)
+#: Levels of agreement of a component.
+SAME, TYPED, NEAR, FAR, DIFFERENT, MISSING = range(6)
 
 
 def _letters(c: Column) -> Column:
@@ -171,95 +170,126 @@ def _typed(a: Column, b: Column) -> Column:
     return (d == 0) | (d == 1) | ((d == 2) & (F.length(a) == F.length(b)) & (_letters(a) == _letters(b)))
 
 
-def block_keys(r: DataFrame) -> DataFrame:
-    """Records with a row for each of their block keys, all with the house number in them."""
-    n = F.col("number")
-    keys = F.array(F.concat_ws("|", F.lit("z"), n, F.coalesce("zip", F.lit("?"))), F.concat_ws("|", F.lit("s"), n, F.soundex("name")), F.concat_ws("|", F.lit("p"), n, F.substring("name", 1, 3)), F.concat_ws("|", F.lit("e"), n, F.substring("name", -3, 3)))
-    return r.select("rec", F.explode(F.filter(keys, lambda k: ~k.endswith("?"))).alias("block"))
+def _level(a: Column, b: Column, *grades: tuple[Column, int]) -> Column:
+    """The level of two values: missing, the same, the first grade that holds, else different."""
+    out = F.when(a.isNull() | b.isNull(), MISSING).when(a == b, SAME)
+    for holds, level in grades:
+        out = out.when(holds, level)
+    return out.otherwise(DIFFERENT)
+
+
+def _spelled(a: Column, b: Column) -> list[tuple[Column, int]]:
+    """Grades of likeness of two names, by the edits in proportion to their letters (at most three)."""
+    edits = F.levenshtein(a, b, 3)
+    share = edits / F.greatest(F.length(a), F.length(b))
+    return [(_typed(a, b), TYPED), ((edits >= 0) & (share <= 0.3), NEAR), ((edits >= 0) & (share <= 0.6), FAR)]
+
+
+def block_keys(r: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(keys, street keys) of records, as hashes: the first within a post code or town, the second by street alone.
+
+    All hold the house number. A missing town agrees with any, so records without one meet the others by street alone.
+    """
+    n, name, town = F.col("number"), F.col("name"), F.col("town")
+    streets = [F.soundex(name), F.concat(F.lit("p"), F.substring(name, 1, 3)), F.concat(F.lit("e"), F.substring(name, -3, 3))]
+    towns = [F.soundex(town), F.concat(F.lit("e"), F.substring(town, -3, 3))]
+    near = [F.when(F.col("zip").isNotNull(), F.xxhash64(F.lit("z"), n, "zip")), *(F.when(town.isNotNull(), F.xxhash64(n, s, t)) for s in streets for t in towns)]
+    keys = r.select("rec", F.explode(F.filter(F.array(*near), lambda k: k.isNotNull())).alias("block"))
+    return keys, r.select("rec", town.isNull().alias("open"), F.explode(F.array(*(F.xxhash64(n, s) for s in streets))).alias("block"))
+
+
+LEVELS = ["l_name", "l_type", "l_direction", "l_town", "l_state", "l_zip"]
 
 
 def compared(records: DataFrame) -> DataFrame:
-    """Pairs of records of a block, each once, with their agreement levels."""
-    keys = block_keys(records)
-    pairs = keys.alias("a").join(keys.alias("b"), (F.col("a.block") == F.col("b.block")) & (F.col("a.rec") < F.col("b.rec"))).select(F.col("a.rec").alias("a"), F.col("b.rec").alias("b")).distinct()
+    """Pairs of records of a block with one house number, each once, with their agreement levels."""
+    keys, streets = block_keys(records)
+    near = keys.alias("a").join(keys.alias("b"), (F.col("a.block") == F.col("b.block")) & (F.col("a.rec") < F.col("b.rec"))).select(F.col("a.rec").alias("a"), F.col("b.rec").alias("b"))
+    open_ = small(streets.filter("open").select(F.col("rec").alias("o"), "block"))
+    any_town = streets.join(open_, "block").filter("rec <> o").select(F.least("rec", "o").alias("a"), F.greatest("rec", "o").alias("b"))
     side = lambda s: records.select(F.col("rec").alias(s), *(F.col(f).alias(f"{s}_{f}") for f in FIELDS))
-    p = pairs.join(side("a"), "a").join(side("b"), "b")
+    p = near.unionByName(any_town).distinct().join(side("a"), "a").join(side("b"), "b").filter("a_number = b_number")
     a, b = (lambda f, s=s: F.col(f"{s}_{f}") for s in "ab")
-    wide = F.levenshtein(a("name"), b("name"), 3) >= 0
-    levels = {
-        "name": _level(a("name"), b("name"), _typed(a("name"), b("name")) | (wide & (F.least(F.length(a("name")), F.length(b("name"))) >= 5))), "type": _level(a("type"), b("type")), "direction": _level(a("direction"), b("direction")),
-        "town": _level(a("town"), b("town"), F.levenshtein(a("town"), b("town"), 3) >= 0), "state": _level(a("state"), b("state")), "zip": _level(a("zip"), b("zip"), _letters(a("zip")) == _letters(b("zip"))),
-    }
-    return p.select("a", "b", *(v.alias(f"l_{k}") for k, v in levels.items()), _typed(a("town"), b("town")).alias("town_typed"), _typed(a("zip"), b("zip")).alias("zip_typed"))
+    same = lambda f: _level(a(f), b(f))
+    name, town = (_level(a(f), b(f), *_spelled(a(f), b(f))) for f in ("name", "town"))
+    code = _level(a("zip"), b("zip"), (_typed(a("zip"), b("zip")), TYPED), (_letters(a("zip")) == _letters(b("zip")), NEAR))
+    return p.select("a", "b", *(v.alias(c) for c, v in zip(LEVELS, (name, same("type"), same("direction"), town, same("state"), code), strict=True)))
 
 
-LEVELS = ["l_name", "l_type", "l_direction", "l_town", "l_state", "l_zip"]
+#: Shares of the levels among matches and among others that the estimation starts from.
+START = [0.7, 0.1, 0.04, 0.02, 0.02, 0.12], [0.2, 0.03, 0.05, 0.1, 0.5, 0.12]
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, error: float = 0.02, prior: float = 50.0) -> dict[tuple[int, ...], float]:
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, error: float = 1e-6, prior: float = 50.0) -> dict[tuple[int, ...], float]:
     """EM of the Fellegi-Sunter model over counted patterns of levels; gives each pattern's probability of a match.
 
-    Among matches a component may differ with probability ``error`` at most, else the classes would part by town alone. The starting weights count as ``prior`` pairs, so that a handful of pairs
-    doesn't overturn them.
+    Two records of one place never differ outright in a component but by an error of the source, which ``error`` bounds the
+    share of; everything else is estimated. The starting shares count as ``prior`` pairs, so that a handful of pairs doesn't
+    overturn them.
     """
     if not patterns:
         return {}
-    width = len(patterns[0][0])
-    start = ([0.7, 0.15, 0.03, 0.12], [0.25, 0.1, 0.53, 0.12])
-    share, m, u = 0.5, [start[0]] * width, [start[1]] * width
-    post: dict[tuple[int, ...], float] = {}
+    x = np.array([p for p, _ in patterns])
+    n = np.array([c for _, c in patterns], float)
+    width = x.shape[1]
+    share, m, u = 0.1, np.array([START[0]] * width), np.array([START[1]] * width)
     for _ in range(rounds):
-        for x, _n in patterns:
-            lm = math.log(share) + sum(math.log(m[i][v]) for i, v in enumerate(x))
-            lu = math.log(1 - share) + sum(math.log(u[i][v]) for i, v in enumerate(x))
-            post[x] = 1 / (1 + math.exp(min(500.0, lu - lm)))
-        wm, wu = sum(n * post[x] for x, n in patterns), sum(n * (1 - post[x]) for x, n in patterns)
-        share = min(max(wm / (wm + wu), 1e-6), 1 - 1e-6)
-        m, u = ([[(prior * a[v] + sum(n * g(post[x]) for x, n in patterns if x[i] == v)) / (prior + w) for v in range(4)] for i in range(width)] for g, w, a in ((lambda p: p, wm, start[0]), (lambda p: 1 - p, wu, start[1])))
-        m = [[v if j != 2 else min(v, error) for j, v in enumerate(x)] for x in m]
-        m = [[v / sum(x) for v in x] for x in m]
-    return post
-
-
-def linked(records: DataFrame, threshold: float = 0.05) -> DataFrame:
-    """Pairs of records (a, b) that denote one place: likely by the estimated weights, then checked exactly.
-
-    The patterns (at most 4**6) are all that reaches the driver.
+        odds = math.log(share / (1 - share)) + sum(np.log(m[i, x[:, i]]) - np.log(u[i, x[:, i]]) for i in range(width))
+        post = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        share = min(max(float((n * post).sum() / n.sum()), 1e-6), 1 - 1e-6)
+        m, u = (np.array([(prior * np.array(s) + np.bincount(x[:, i], n * w, MISSING + 1)) / (prior + (n * w).sum()) for i in range(width)]) for w, s in ((post, START[0]), (1 - post, START[1])))
+        m[:, DIFFERENT] = np.minimum(m[:, DIFFERENT], error)
+        m /= m.sum(axis=1, keepdims=True)
+    return {p: float(v) for (p, _), v in zip(patterns, post, strict=True)}
+
+
+def linked(records: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Pairs of records (a, b, probability) that denote one place by the estimated weights.
+
+    The patterns (at most 6**6) are all that reaches the driver.
     """
     pairs = written(compared(records), "pairs")
-    counted = [(tuple(r)[:-1], r[-1]) for r in pairs.groupBy(*LEVELS).count().collect()]
-    spark = records.sparkSession
-    weights = spark.createDataFrame([(*x, p) for x, p in estimate(counted).items()], ", ".join(f"{c} int" for c in LEVELS) + ", probability double")
-    likely = pairs.join(F.broadcast(weights), LEVELS).filter(F.col("probability") >= threshold)
-    lv = {c[2:]: F.col(c) for c in LEVELS}
-    town = (lv["town"] == 0) | (lv["town"] == 3) | F.col("town_typed") | ((lv["town"] == 1) & (lv["zip"] <= 1))
-    code = (lv["zip"] == 0) | (lv["zip"] == 3) | ((lv["zip"] == 1) & ((lv["town"] <= 1) | F.col("zip_typed")))
-    same = (lv["name"] <= 1) & (lv["type"] != 2) & (lv["direction"] != 2) & (lv["state"] != 2) & town & code
-    return likely.filter(same).select("a", "b", "probability")
+    counted = sorted((tuple(r)[:-1], r[-1]) for r in pairs.groupBy(*LEVELS).count().collect())
+    weights = records.sparkSession.createDataFrame([(*x, p) for x, p in estimate(counted).items()], ", ".join(f"{c} int" for c in LEVELS) + ", probability double")
+    return pairs.join(F.broadcast(weights), LEVELS).filter(F.col("probability") >= threshold).select("a", "b", "probability")
 
 
 def located(rows: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
     """(members, records): the record of each row that has a street and number, and the records' components.
 
-    Records are numbered by a hash of their components, so that they come out alike after a lost task.
+    Records are named by a 128-bit hash of their components, so that they come out alike after a lost task.
     """
     one = rows.select(F.col(id_col).alias("id"), parsed("street", "city", "state", "zip").alias("p"))
     parts = written(one, "parsed").filter(F.col("p").isNotNull()).select("id", "p.*")  # filtered behind the function, else it runs twice
     full = completed(parts)
-    rec = F.xxhash64(*(F.coalesce(F.col(f), F.lit("\0")) for f in FIELDS))
+    rec = F.unhex(F.md5(F.concat_ws("\1", *(F.coalesce(F.col(f), F.lit("\0")) for f in FIELDS))))
     members = written(full.select("id", rec.alias("rec"), *FIELDS), "members")
     return members.select("id", "rec"), written(members.groupBy("rec").agg(*(F.first(f).alias(f) for f in FIELDS)), "records")
 
 
+def places(rows: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """(members, links): the record of each row, named by its smallest id, and the links between records.
+
+    members: id, record; links: record_a < record_b, probability. Rows with one record denote one place; so do rows of
+    linked records. This is the result without its pairs written out; :func:`same_place` writes them.
+    """
+    members, records = located(rows, id_col)
+    named = written(members.groupBy("rec").agg(F.min("id").alias("record")), "named")
+    a, b = (named.select(F.col("rec").alias(s), F.col("record").alias(f"r_{s}")) for s in "ab")
+    links = linked(records).join(a, "a").join(b, "b").select(F.least("r_a", "r_b").alias("record_a"), F.greatest("r_a", "r_b").alias("record_b"), "probability")
+    return members.join(named, "rec").select("id", "record"), links
+
+
 def same_place(rows: DataFrame, id_col: str) -> DataFrame:
     """All pairs of ids (a < b) whose addresses denote the same place.
 
     ``rows``: street, city, state, zip and a unique ``id_col``. Null, empty and placeholder addresses, post boxes and
     what has no house number are in no pair; rows with equal components pair with each other.
     """
-    members, records = located(rows, id_col)
-    links = linked(records)
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(records.select(F.col("rec").alias("a"), F.col("rec").alias("b")))
-    left = members.select(F.col("id").alias("id_a"), F.col("rec").alias("a"))
-    right = members.select(F.col("id").alias("id_b"), F.col("rec").alias("b"))
+    members, links = places(rows, id_col)
+    members, links = written(members, "members"), written(links, "links")
+    own = members.select(F.col("record").alias("a"), F.col("record").alias("b")).distinct()
+    both = links.select(F.col("record_a").alias("a"), F.col("record_b").alias("b")).unionByName(links.select(F.col("record_b").alias("a"), F.col("record_a").alias("b"))).unionByName(own)
+    left = members.select(F.col("id").alias("id_a"), F.col("record").alias("a"))
+    right = members.select(F.col("id").alias("id_b"), F.col("record").alias("b"))
     return left.join(both, "a").join(right, "b").filter("id_a < id_b").select("id_a", "id_b")

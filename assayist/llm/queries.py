@@ -48,9 +48,25 @@ def p3_within_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.select(*_GROUP, "pct", "n", ((F.col("below") - F.col("rank_error") < need) & (F.col("upto") + F.col("rank_error") >= need)).alias("within"))
 
 
+def _addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "application").select("application_id", "street", "city", "state", "zip")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "application").select("application_id", "street", "city", "state", "zip")
-    return addresses.same_place(rows, "application_id").select(F.col("id_a").alias("application_id_a"), F.col("id_b").alias("application_id_b"))
+    return addresses.same_place(_addresses(spark, sf_dir), "application_id").select(F.col("id_a").alias("application_id_a"), F.col("id_b").alias("application_id_b"))
+
+
+def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each application with a place: its record (the smallest application of equal components) and that record's links to other records."""
+    members, links = addresses.places(_addresses(spark, sf_dir), "application_id")
+    ends = links.select(F.explode(F.array("record_a", "record_b")).alias("record")).groupBy("record").agg(F.count("*").alias("n_links"))
+    return members.join(ends, "record", "left").select(F.col("id").alias("application_id"), "record", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records that denote the same place, with the estimated probability."""
+    _, links = addresses.places(_addresses(spark, sf_dir), "application_id")
+    return links.select("record_a", "record_b", F.round("probability", 6).alias("probability"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +108,7 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _subjects(spark, sf_dir).groupBy("subject_id").agg(F.count("*").alias("n_documents"), F.sum("n_about").alias("n_sentences"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p3_found": p3_found, "p3_percentiles": p3_percentiles, "p3_within_bound": p3_within_bound, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_composition": p9_composition}
+QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p3_found": p3_found, "p3_percentiles": p3_percentiles, "p3_within_bound": p3_within_bound, "p5_found": p5_found, "p5_records": p5_records, "p5_links": p5_links, "p6_found": p6_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_composition": p9_composition}
 
 _ONCE = "SELECT any_value(model_version) AS model_version, any_value(started_at) AS started_at, any_value(cache_hit) AS cache_hit, any_value(total_duration_ms) AS total_duration_ms, any_value(vision_duration_ms) AS vision_duration_ms FROM metrics GROUP BY evaluation_id"
 _LONG = f"SELECT model_version, strftime(date_trunc('week', started_at AT TIME ZONE 'UTC'), '%Y-%m-%d') AS week_start, cache_hit::BIGINT AS cache_hit, metric_name, value FROM (UNPIVOT ({_ONCE}) ON total_duration_ms, vision_duration_ms INTO NAME metric_name VALUE value) WHERE value > 0 AND model_version IS NOT NULL AND cache_hit IS NOT NULL"

@@ -1,6 +1,6 @@
 import pytest
 
-from assayist.llm.addresses import estimate, parse, same_place
+from assayist.llm.addresses import compared, estimate, linked, located, parse, places, same_place
 
 SCHEMA = "id bigint, street string, city string, state string, zip string, rec int, number string"
 
@@ -37,6 +37,28 @@ def test_pairs(spark):
 
 
 def test_em_parts_the_classes():
-    p = [((0, 0, 0, 0, 0, 0), 100), ((1, 0, 3, 0, 0, 0), 40), ((2, 2, 3, 0, 0, 0), 300), ((2, 2, 2, 2, 2, 2), 500), ((0, 3, 3, 3, 3, 0), 10)]
+    p = [((0, 0, 0, 0, 0, 0), 100), ((1, 0, 5, 0, 0, 0), 40), ((4, 4, 5, 0, 0, 0), 300), ((4, 4, 4, 4, 4, 4), 500), ((0, 5, 5, 5, 5, 0), 10)]
     post = estimate(p)
-    assert post[0, 0, 0, 0, 0, 0] > 0.95 and post[2, 2, 2, 2, 2, 2] < 0.05 and post[2, 2, 3, 0, 0, 0] < 0.5 and post[0, 3, 3, 3, 3, 0] > 0.5
+    assert post[0, 0, 0, 0, 0, 0] > 0.95 and post[4, 4, 4, 4, 4, 4] < 0.05 and post[4, 4, 5, 0, 0, 0] < 0.5 and post[0, 5, 5, 5, 5, 0] > 0.5
+    assert estimate([]) == {}
+
+
+def test_the_weights_decide(spark):
+    """Whatever shares a block is a candidate; only the estimated weights tell places apart."""
+    rows = [(1, "12 Main St", "Greenfield", "OR", "97001"), (2, "12 Main Ave", "Greenfield", "OR", "97001"), (3, "12 Oak St", "Greenfield", "OR", "97001"), (4, "12 Mian Str", "Greenfeild", "OR", "97001"), (5, "12 Mapel Lane", "Lakeport", "OR", "97555"), (6, "12 Maple Ln", "Lakeport", None, "97556")]
+    df = spark.createDataFrame([(*r, 0, "clash") for r in rows], SCHEMA)
+    members, links = places(df, "id")
+    assert {(r.record_a, r.record_b) for r in links.collect()} == {(1, 4), (5, 6)}
+    assert {(r.id, r.record) for r in members.collect()} == {(i, i) for i in range(1, 7)}
+    _, records = located(df, "id")
+    assert {tuple(r)[2:4] for r in compared(records).collect()} >= {(0, 4), (4, 0)} and linked(records, 0.0).count() > 2
+
+
+def test_links_and_members_give_the_pairs(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/application.parquet")
+    members, links = places(df, "application_id")
+    m = {r.id: r.record for r in members.collect()}
+    near = {(r.record_a, r.record_b) for r in links.collect()}
+    ids = sorted(m)
+    want = {(a, b) for a in ids for b in ids if a < b and (m[a] == m[b] or tuple(sorted((m[a], m[b]))) in near)}
+    assert want and {(r.id_a, r.id_b) for r in same_place(df, "application_id").collect()} == want
