@@ -80,7 +80,7 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p7_leaks(spark, sf_dir).filter("exact_words >= 12").select("doc_id", "item_id")
+    return p7_leaks(spark, sf_dir).filter("errors = 0 and exact_words >= 12").select("doc_id", "item_id")
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

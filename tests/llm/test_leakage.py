@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from assayist.llm import leakage
 from assayist.llm.leakage import Matcher, leaks, letters, myers
 
 
@@ -73,3 +74,36 @@ def test_only_markup_is_left_out(text):
 
 def test_long_open_brackets_take_no_time():
     assert letters("<b " + "a='1' " * 50_000 + "<" * 50_000)[0].startswith("ba1a1")
+
+
+def test_without_the_distance_nothing_is_found(monkeypatch):
+    assert Matcher([(1, ITEM)]).find(ITEM) == [(1, 0, len(WORDS))]
+    monkeypatch.setattr(leakage, "myers", lambda pattern, text: len(pattern))
+    assert Matcher([(1, ITEM)]).find(ITEM) == []
+
+
+def test_short_items_leak_as_a_whole():
+    m = Matcher([(1, "blue tin plate"), (2, "vat"), (3, "!"), (4, "grey flax")])
+    assert m.find("The BLUE-tin plate, a vat.") == [(1, 0, 3), (2, 0, 1)]
+    assert m.find("a blve tin plate") == [(1, 1, 0)] and m.find("blue tin") == [] and m.find("grey flox") == [(4, 1, 0)]
+
+
+def test_recall_of_passages_with_one_error():
+    rng = random.Random(9)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(300)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(40))) for i in range(30)]
+    m, found, tried = Matcher(items), 0, 300
+    for _ in range(tried):
+        i, a = rng.randrange(30), rng.randrange(28)
+        passage = " ".join(items[i][1].split()[a : a + 12])
+        at = rng.randrange(len(passage))
+        passage = passage[:at] + "z" + passage[at + 1 :] if passage[at] != " " else passage
+        found += i in {j for j, e, _ in m.find(f"xx yy {passage} vv ww") if e <= 1}
+    assert found == tried
+
+
+def test_blocks_of_items_find_alike(spark):
+    docs = spark.createDataFrame([(1, ITEM), (2, "x " + " ".join(reversed(WORDS)) + " y"), (3, "z")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, ITEM), (8, " ".join(reversed(WORDS))), (7, ITEM)], "item_id bigint, item_text string")
+    one, many = ({tuple(r) for r in leaks(docs, items, letters_at_once=n).collect()} for n in (10**6, 30))
+    assert one == many and {r[:2] for r in one} == {(1, 7), (2, 8)}
