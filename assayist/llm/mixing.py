@@ -1,7 +1,7 @@
 """Mixing sources to target weights: min-cost flow over membership patterns, then a seeded choice of documents.
 
 Equal texts are one *content*, which belongs to every source that holds a copy. Contents with the same set of sources form a
-pattern; only the tokens by pattern (at most 2**sources numbers) reach the driver. There a min-cost flow routes them to
+pattern; only the tokens by pattern (of a counted number) reach the driver. There a min-cost flow routes them to
 the sources' quotas: using a pattern's tokens for the k-th time costs k - 1, so repetition is spread evenly and only where
 it is needed, and a source takes no content more than its ``max_repeats`` times. On the cluster the flow of a pattern is
 laid out along a tape: the contents in seeded order, once for each round of use; each stretch of the tape belongs to a
@@ -14,26 +14,35 @@ import os
 from collections import deque
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayist.session import written
+from assayist.session import bounded, small, written
 
 #: The tokenizer by default: a public byte-level BPE; any file of the ``tokenizers`` library will do.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 BUCKETS = 4096
+#: Sets of sources that hold a content: what the flow on the driver takes. More are refused, with a message.
+PATTERNS = 20_000
 
 
-def token_counts(path: str = TOKENIZER):
-    """An Arrow function that counts the tokens of whole texts; null has none."""
+def shipped(spark: SparkSession, path: str) -> str:
+    """The name under which the workers find a file of the driver's."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def token_counts(name: str):
+    """An Arrow function that counts the tokens of whole texts by a tokenizer that was :func:`shipped`; null has none."""
 
     def run(texts: pa.Array) -> pa.Array:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        if (t := _LOADED.get(path)) is None:
-            t = _LOADED[path] = Tokenizer.from_file(path)
+        if (t := _LOADED.get(name)) is None:
+            t = _LOADED[name] = Tokenizer.from_file(SparkFiles.get(name))
             t.encode_special_tokens = True
         listed = texts.to_pylist()
         return pa.array([len(t.encode(x, add_special_tokens=False).ids) if x else 0 for x in listed], pa.int64())
@@ -137,12 +146,15 @@ def mixed(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: i
     one document at each end of its stretches.
     """
     plan = {source: (float(share), int(most)) for source, share, most in targets.filter("target_share > 0 and max_repeats > 0").select(source_name(F.col("source")), "target_share", "max_repeats").collect()}
-    wanted = docs.filter(F.length("text") > 0).select("doc_id", source_name(F.col("source")).alias("source"), F.md5("text").alias("content")).filter(F.col("source").isin(list(plan)))
-    contents = wanted.groupBy("content").agg(F.array_sort(F.collect_set("source")).alias("pattern"), F.min("doc_id").alias("doc_id"))
-    sized = written(docs.select("doc_id", "text").join(contents.select("doc_id", "pattern"), "doc_id").select("doc_id", F.concat_ws("|", "pattern").alias("pattern"), token_counts(tokenizer)("text").alias("tokens")), "sized")
+    named = docs.filter(F.length("text") > 0).select("doc_id", source_name(F.col("source")).alias("source"), "text").filter(F.col("source").isin(list(plan)))
+    # tokens are counted in the scan; only (doc_id, source, digest, tokens) is shuffled, never a text
+    counted = named.select("doc_id", "source", F.unhex(F.md5("text")).alias("content"), token_counts(shipped(docs.sparkSession, tokenizer))("text").alias("tokens"))
+    contents = counted.groupBy("content").agg(F.concat_ws("|", F.array_sort(F.collect_set("source"))).alias("pattern"), F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"))
+    sized = written(contents.select("doc_id", "pattern", "tokens"), "sized")
     order = F.xxhash64(F.lit(seed), "doc_id")
     sized = sized.filter("tokens > 0").select("*", order.alias("h"), F.pmod(F.shiftrightunsigned(order, 40).cast("int"), F.lit(BUCKETS)).alias("bucket"))
-    patterns = {tuple(r["pattern"].split("|")): int(r["t"]) for r in sized.groupBy("pattern").agg(F.sum("tokens").alias("t")).collect()}
+    per = bounded(sized.groupBy("pattern").agg(F.sum("tokens").alias("t")), PATTERNS)
+    patterns = {tuple(r["pattern"].split("|")): int(r["t"]) for r in per.collect()}
     _, flows = route(patterns, plan, largest_total(patterns, plan) if total is None else total)
     tape, at = [], {}
     for (p, s), f in sorted(flows.items()):
@@ -157,7 +169,7 @@ def mixed(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: i
     placed = sized.select("doc_id", "pattern", "bucket", "tokens", inside.alias("inside")).join(before, ["pattern", "bucket"]).select("doc_id", "pattern", "tokens", (F.col("before") + F.col("inside")).alias("place"))
     # places of the document on the tape: place + k * size within [start, stop)
     low, high = F.greatest(F.ceil((F.col("start") - F.col("place")) / F.col("size")), F.lit(0)), F.ceil((F.col("stop") - F.col("place")) / F.col("size"))
-    return placed.join(F.broadcast(stretches), "pattern").select("doc_id", "source", (high - low).cast("bigint").alias("times"), "tokens").filter("times > 0")
+    return placed.join(small(stretches), "pattern").select("doc_id", "source", (high - low).cast("bigint").alias("times"), "tokens").filter("times > 0")
 
 
 def shares(mix: DataFrame, targets: DataFrame) -> DataFrame:

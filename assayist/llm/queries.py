@@ -92,6 +92,16 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p8_mix(spark, sf_dir), read_table(spark, sf_dir, "mix_target"))
 
 
+def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each target, whether its share of the mix is met (within 0.002 and four documents of it, among the sources that have documents) and no document of it is used too often."""
+    targets = read_table(spark, sf_dir, "mix_target")
+    got = mixing.shares(mixed := written(p8_mix(spark, sf_dir), "mix"), targets).join(targets.select(mixing.source_name(F.col("source")).alias("source"), "max_repeats"), "source")
+    held = mixed.select("source").distinct().join(targets.select(mixing.source_name(F.col("source")).alias("source"), "target_share"), "source").agg(F.sum("target_share").alias("held"))
+    size = mixed.agg((F.lit(4) * F.max("tokens") / F.sum(F.col("times") * F.col("tokens"))).alias("some"))
+    met = F.when(F.col("n_documents") > 0, F.abs(F.col("actual_share") - F.col("target_share") / F.col("held")) <= 0.002 + F.col("some")).otherwise(F.col("tokens") == 0)
+    return got.join(F.broadcast(held)).join(F.broadcast(size)).select("source", met.alias("share_met"), (F.col("most_used") <= F.col("max_repeats")).alias("repeats_kept"))
+
+
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = read_table(spark, sf_dir, "canonical_entry").filter("field_name = 'brand_name'").select("canonical_name")
@@ -108,7 +118,7 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _subjects(spark, sf_dir).groupBy("subject_id").agg(F.count("*").alias("n_documents"), F.sum("n_about").alias("n_sentences"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p3_found": p3_found, "p3_percentiles": p3_percentiles, "p3_within_bound": p3_within_bound, "p5_found": p5_found, "p5_records": p5_records, "p5_links": p5_links, "p6_found": p6_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_composition": p9_composition}
+QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p3_found": p3_found, "p3_percentiles": p3_percentiles, "p3_within_bound": p3_within_bound, "p5_found": p5_found, "p5_records": p5_records, "p5_links": p5_links, "p6_found": p6_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_kept": p8_kept, "p9_found": p9_found, "p9_composition": p9_composition}
 
 _ONCE = "SELECT any_value(model_version) AS model_version, any_value(started_at) AS started_at, any_value(cache_hit) AS cache_hit, any_value(total_duration_ms) AS total_duration_ms, any_value(vision_duration_ms) AS vision_duration_ms FROM metrics GROUP BY evaluation_id"
 _LONG = f"SELECT model_version, strftime(date_trunc('week', started_at AT TIME ZONE 'UTC'), '%Y-%m-%d') AS week_start, cache_hit::BIGINT AS cache_hit, metric_name, value FROM (UNPIVOT ({_ONCE}) ON total_duration_ms, vision_duration_ms INTO NAME metric_name VALUE value) WHERE value > 0 AND model_version IS NOT NULL AND cache_hit IS NOT NULL"
@@ -117,4 +127,5 @@ ORACLE = {
     "p7_found": sql.p7_found(),
     "p3_found": f"SELECT model_version, week_start, cache_hit, metric_name, pct::BIGINT AS pct FROM (SELECT model_version, week_start, cache_hit, metric_name, count(*) AS n, count(*) FILTER (WHERE value <= 5000) AS le FROM ({_LONG}) GROUP BY ALL) CROSS JOIN (VALUES (50), (90)) AS p(pct) WHERE n >= 40 AND le < ceil(pct * n / 100.0)",
     "p3_within_bound": f"SELECT model_version, week_start, cache_hit, metric_name, pct::BIGINT AS pct, count(*) AS n, true AS within FROM ({_LONG}) CROSS JOIN (VALUES (50), (90), (99)) AS p(pct) GROUP BY ALL",
+    "p8_kept": "SELECT regexp_replace(lower(trim(source)), '[\\s\\-]+', '_', 'g') AS source, true AS share_met, true AS repeats_kept FROM mix_target",
 }

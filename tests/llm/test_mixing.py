@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from assayist.llm.mixing import largest_total, mixed, route, shares, token_counts
+from assayist.llm.mixing import TOKENIZER, largest_total, mixed, route, shares, shipped, token_counts
 
 
 def test_flow_spreads_repetition():
@@ -26,4 +26,4 @@ def test_mix(spark):
     assert abs(report["big"].actual_share / report["small"].actual_share - 2) < 0.25 and report["absent"].tokens == 0 and report["small"].most_used == 3
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixed(docs, targets).collect()))
     assert mixed(docs.limit(0), targets).count() == 0 and mixed(docs, targets.limit(0)).count() == 0
-    assert spark.createDataFrame([("a b",), (None,)], "t string").select(token_counts()(F.col("t")).alias("n")).agg(F.sum("n")).first()[0] == 2
+    assert spark.createDataFrame([("a b",), (None,)], "t string").select(token_counts(shipped(spark, TOKENIZER))(F.col("t")).alias("n")).agg(F.sum("n")).first()[0] == 2
