@@ -1,8 +1,9 @@
 """Quantities recorded in different units: readings of a text, and the units that a physical identity singles out.
 
 A *reading* is ``struct<amount double, unit string>`` with the amount in the common unit of its kind (millilitres, or
-per cent of alcohol by volume). A text may have several readings ("1,057" is a thousand or a decimal; a bare number may
-be of any unit). An identity among columns, such as mass = density x volume or extracted = expected, is a product of
+per cent of alcohol by volume). A text has a reading for each amount that it states ("75 cl (25.4 fl oz)", "40 % (80 proof)"), for each way
+to read a number ("1,057" is a thousand or a decimal), and, where no unit is stated, for each unit that a bare number may be
+in, marked with a "?". An identity among columns, such as mass = density x volume or extracted = expected, is a product of
 powers that must be 1; :func:`solve_identity` takes the combination of readings whose log residual is smallest and
 flags the rows where another combination does as well.
 """
@@ -32,11 +33,10 @@ SPELLED = {
 ABV = {"percent": 1.0, "proof": 0.5, "ml/l": 0.1, "fraction": 100.0}
 
 #: A point after a letter is punctuation ("Alc.40%"), not a decimal mark; after "fraction" it is one.
-_NUM = r"(?:(?<![\d.,/])|(?<=[a-z]\.))(\d+\s+\d+/\d+|\d+/\d+|\d+(?:[.,]\d+)*|(?<![a-z.])\.\d+)"
+_NUM_N = r"(?:(?<![\d.,/])|(?<=[a-z]\.))(?P<n>\d+\s+\d+/\d+|\d+/\d+|\d+(?:[.,]\d+)*|(?<![a-z.])\.\d+)"
+_NUM = _NUM_N.replace("?P<n>", "")
 _PART = r"(?<![\d.,/])(\d+/\d+|\d+(?:[.,]\d+)*|\.\d+)"
 _UNITS = "|".join(SPELLED.values())
-_ONE = rf"{_NUM}\s*-?\s*({_UNITS})(?![a-z])"
-_TWO = rf"{_ONE}\s*(?:,|&|and)?\s*{_NUM}\s*({_UNITS})(?![a-z])"
 _PER_LITRE = rf"{_NUM}\s*(?:ml|millilit(?:er|re)s?)\s*(?:of\s+)?(?:alcohol|ethanol)?\s*(?:/|per)\s*(?:l\b|lit)"
 _DEGREE = r"(?:degrees?|deg\.?|°|º)?\s*"
 _PROOF = rf"{_NUM}\s*{_DEGREE}(?:u\.?\s*s\.?\s*)?{_DEGREE}proof|proof\s*[.:=]?\s*{_NUM}"
@@ -44,6 +44,9 @@ _FRACTION = rf"fraction[^\d.]*{_PART}|{_NUM}[^\d]*fraction"
 _PERCENT = rf"{_NUM}\s*(?:%|percent\b|per\s+cent\b|pct\b)"
 _HALF = rf"\bhalf(?:\s+an?)?\s+(?=(?:{_UNITS})(?![a-z]))"
 _SINGLE = rf"\b(?:one|an?)\s+(?=(?:{_UNITS})(?![a-z]))"
+_VOLUME, _SECOND = re.compile(rf"{_NUM_N}\s*-?\s*(?P<u>{_UNITS})(?![a-z])"), re.compile(rf"\s*(?:,|&|and)?\s*{_NUM_N}\s*(?P<u>{_UNITS})(?![a-z])")
+_STRENGTHS = [(u, re.compile(p)) for u, p in (("proof", _PROOF), ("fraction", _FRACTION), ("ml/l", _PER_LITRE), ("percent", _PERCENT))]
+_BARE = r"\d+(?:[.,]\d+)*|\.\d+|\d+/\d+|\d+\s+\d+/\d+"
 READING = T.ArrayType(T.StructType([T.StructField("amount", T.DoubleType()), T.StructField("unit", T.StringType())]))
 
 
@@ -68,24 +71,34 @@ def _text(value: str) -> str:
     return re.sub(_SINGLE, "1 ", re.sub(_HALF, "1/2 ", plain_text(value).lower()))
 
 
+def _joined(unit: str, amount: float, more: float) -> float:
+    """Two parts of one amount; a metric one may be said twice ("75 cl 750 ml")."""
+    return amount if unit in KINDS[0] and abs(amount - more) <= 0.01 * amount else amount + more
+
+
 def read_volume(value: str) -> list[tuple[float, str]]:
-    """Readings in millilitres of a text. "3 pt. 2.7 fl. oz." is one amount, in pints; a metric one may be said twice ("75 cl 750 ml")."""
-    t = _text(value)
-    if not (m := re.search(_TWO, t) or re.search(_ONE, t)) or not (unit := _unit(m[2])):
-        return []
-    more = 0.0
-    if m.lastindex == 4 and (second := _unit(m[4])) and any({second, unit} <= k for k in KINDS) and ML[second] < ML[unit]:
-        more = ML[second] * next(iter(_number(m[3])), 0.0)
-    return [(a if unit in KINDS[0] and abs(a - more) <= 0.01 * a else a + more, unit) for x in _number(m[1]) for a in (x * ML[unit],)]
+    """Readings in millilitres of all amounts in a text. "3 pt. 2.7 fl. oz." is one amount, in pints."""
+    t, out, at = _text(value), [], 0
+    while m := _VOLUME.search(t, at):
+        first, unit, at = m["n"], _unit(m["u"]), m.end()
+        more = 0.0
+        if (p := _SECOND.match(t, at)) and (second := _unit(p["u"])) and any({second, unit} <= k for k in KINDS) and ML[second] < ML[unit]:
+            more, at = ML[second] * next(iter(_number(p["n"])), 0.0), p.end()
+        out += [(_joined(unit, x * ML[unit], more), unit) for x in _number(first)]
+    return list(dict.fromkeys(out))
 
 
 def read_alcohol(value: str) -> list[tuple[float, str]]:
-    """Readings in per cent by volume of a text: US proof, fractions, ml per litre, percentages."""
+    """Readings in per cent by volume of all strengths in a text: US proof, fractions, ml per litre, percentages."""
     t = _text(value)
-    for unit, pattern in (("proof", _PROOF), ("fraction", _FRACTION), ("ml/l", _PER_LITRE), ("percent", _PERCENT)):
-        if m := re.search(pattern, t):
-            return [(x * ABV[unit], unit) for x in _number(m[1] or m[2])]
-    return []
+    found = [(m.start(), x * ABV[unit], unit) for unit, pattern in _STRENGTHS for m in pattern.finditer(t) for x in _number(next(g for g in m.groups() if g))]
+    return list(dict.fromkeys((x, u) for _, x, u in sorted(found, key=lambda f: f[0])))
+
+
+def read_bare(value: str, factors: dict[str, float]) -> list[tuple[float, str]]:
+    """Readings of a text that is a number without a unit: one for each unit it may be in, marked with "?"."""
+    t = _text(value).strip(" .:")
+    return [(x * f, f"?{u}") for x in (_number(t) if re.fullmatch(_BARE, t) else []) for u, f in factors.items()]
 
 
 @F.arrow_udf(READING)
@@ -98,7 +111,8 @@ def readings(values: pa.Array, alcohol: pa.Array) -> pa.Array:
     rows = []
     for key in zip(values.to_pylist(), alcohol.to_pylist(), strict=True):
         if key not in seen:
-            seen[key] = (read_alcohol if key[1] else read_volume)(key[0]) if key[0] else []
+            read, factors = (read_alcohol, ABV) if key[1] else (read_volume, ML)
+            seen[key] = (read(key[0]) or read_bare(key[0], factors)) if key[0] else []
         rows.append(seen[key])
     flat = [x for r in rows for x in r]
     parts = pa.StructArray.from_arrays([pa.array([a for a, _ in flat], pa.float64()), pa.array([u for _, u in flat], pa.string())], names=["amount", "unit"])
@@ -142,11 +156,6 @@ def solve_identity(df: DataFrame, terms: dict[str, int], tolerance: float = 0.01
     return df.select(*keep, F.when(b.isNotNull(), F.struct(b.residual.alias("residual"), b.amounts.alias("amounts"), b.units.alias("units"), (b.residual <= limit).alias("fits"), (~others).alias("unique"))).alias(out))
 
 
-def combinations(terms: dict[str, dict[str, float]]) -> list[tuple[str, ...]]:
-    """All unit combinations that :func:`solve_identity` weighs for columns with these options."""
-    return list(itertools.product(*terms.values()))
-
-
 def finding_readings(findings: DataFrame) -> DataFrame:
     """``findings`` of alcohol_content and net_contents, with the readings of both values."""
     rows = findings.filter(F.col("field_name").isin("alcohol_content", "net_contents"))
@@ -156,8 +165,13 @@ def finding_readings(findings: DataFrame) -> DataFrame:
 
 
 def equal_amounts(findings: DataFrame) -> DataFrame:
-    """Findings whose two values state the same amount, within 1 % of the larger, in different units."""
+    """Findings whose two values state the same amount, within 1 % of the larger, in different units.
+
+    The solver chooses among the readings of both; an amount counts only if its unit is stated. Where one unit fits on both
+    sides as well, the text says the same amount in it, and the units don't differ.
+    """
     rows = findings.filter(F.col("extracted_value") != F.col("expected_value")).select("finding_id", "field_name", "extracted_value", "expected_value")
     solved = solve_identity(finding_readings(rows), {"extracted_readings": 1, "expected_readings": -1})
     s = F.col("solved")
-    return solved.filter(s.fits & (F.get(s.units, F.lit(0)) != F.get(s.units, F.lit(1))))
+    stated = ~F.exists(s.units, lambda u: u.startswith("?"))
+    return solved.filter(s.fits & stated & (F.get(s.units, F.lit(0)) != F.get(s.units, F.lit(1))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayist.operators.delivery import deliver_once, repeated_deliveries
@@ -17,11 +17,21 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_common_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both values of every alcohol and volume finding in common units, with the solver's verdict."""
+    """Both values of every alcohol and volume finding in common units, with the solver's verdict.
+
+    A unit that no text states ("?" before it) is taken only where the other side's amount singles it out.
+    """
     rows = finding_readings(read_table(spark, sf_dir, "field_finding").select(_FINDING))
     s = solve_identity(rows, {"extracted_readings": 1, "expected_readings": -1})
-    only = lambda side, i: F.round(F.coalesce(F.get(F.col("solved.amounts"), F.lit(i)), F.get(F.col(f"{side}_readings"), F.lit(0)).amount), 6)
-    return s.select("finding_id", "field_name", only("extracted", 0).alias("extracted_amount"), only("expected", 1).alias("expected_amount"), F.col("solved.fits").alias("fits"), F.col("solved.unique").alias("unique_solution"))
+    found, fits = F.col("solved"), F.col("solved.fits")
+
+    def side(name: str, i: int) -> list[Column]:
+        own = F.get(F.col(f"{name}_readings"), F.lit(0))
+        pick = F.when(found.isNotNull(), F.struct(F.get(found.amounts, F.lit(i)).alias("amount"), F.get(found.units, F.lit(i)).alias("unit"))).otherwise(own)
+        sure = ~pick.unit.startswith("?") | (F.coalesce(fits, F.lit(False)) & found.unique)
+        return [F.when(sure, F.round(pick.amount, 6)).alias(f"{name}_amount"), F.when(sure, pick.unit).alias(f"{name}_unit")]
+
+    return s.select("finding_id", "field_name", *side("extracted", 0), *side("expected", 1), fits.alias("fits"), found.unique.alias("unique_solution"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import math
 
 import pytest
 
-from assayist.operators.quantities import ABV, ML, equal_amounts, finding_readings, read_alcohol, read_volume, solve_identity, unit_options
+from assayist.operators.quantities import ABV, ML, equal_amounts, finding_readings, read_alcohol, read_bare, read_volume, solve_identity, unit_options
 from pyspark.sql import functions as F
 
 
@@ -50,7 +50,7 @@ def test_identity_of_three_columns(spark):
     ("Net.750 mL", (750.0, "ml")), ("Net .75 L", (750.0, "l")), ("CONT.1.5 L", (1500.0, "l")),
 ])
 def test_second_part_and_point_after_a_letter(text, want):
-    (amount, unit), = read_volume(text)
+    amount, unit = read_volume(text)[0]
     assert unit == want[1] and math.isclose(amount, want[0])
 
 
@@ -62,3 +62,20 @@ def test_alcohol_after_a_point(text, want):
 def test_compound_metric_amount_is_equal(spark):
     df = spark.createDataFrame([(1, "net_contents", "1 L 500 mL", "150 cl"), (2, "net_contents", "1 L 500 mL", "1000 ml"), (3, "alcohol_content", "Alc.40% vol", "80 proof")], "finding_id bigint, field_name string, extracted_value string, expected_value string")
     assert sorted(r.finding_id for r in equal_amounts(df).collect()) == [1, 3]
+
+
+def test_all_amounts_and_units_are_readings():
+    assert [u for _, u in read_volume("1 L, 33.8 fl oz")] == ["l", "floz"] and [u for _, u in read_alcohol("80 proof (40% vol)")] == ["proof", "percent"]
+    assert read_bare("0.75", {"ml": 1.0, "l": 1000.0}) == [(0.75, "?ml"), (750.0, "?l")] and read_bare("see label 7", {"ml": 1.0}) == [] == read_bare("", {"ml": 1.0})
+
+
+def test_the_solver_decides(spark):
+    """What the first reading alone would give differs in every row."""
+    rows = [(1, "net_contents", "1,057 pints", "500 ml"), (2, "net_contents", "1 case, 75 cl (25.36 fl oz)", "25.36 fluid ounces"), (3, "alcohol_content", "5% off! 80 proof", "40 % vol"), (4, "net_contents", "12 fl oz pack, 750 ml each", "75 cl"), (5, "net_contents", "0.75", "750 ml")]
+    df = spark.createDataFrame(rows, "finding_id bigint, field_name string, extracted_value string, expected_value string")
+    assert sorted(r.finding_id for r in equal_amounts(df).collect()) == [1, 3, 4]
+    first = lambda c: F.slice(c, 1, 1).alias(c)
+    only = solve_identity(finding_readings(df).select("finding_id", first("extracted_readings"), first("expected_readings")), {"extracted_readings": 1, "expected_readings": -1})
+    assert {r.finding_id for r in only.filter("solved.fits").collect()} <= {2}
+    s = {r.finding_id: r.solved for r in solve_identity(finding_readings(df), {"extracted_readings": 1, "expected_readings": -1}).collect()}
+    assert s[5].units == ["?l", "ml"] and s[5].fits and s[5].unique and s[2].units == ["floz", "floz"] and not s[2].unique
