@@ -1,17 +1,21 @@
 """Messages delivered more than once: an index of sorted identifier runs, searched batch by batch.
 
-The index is a list of immutable runs in the shared folder. A run has one row per hash prefix (in chunks): the
+The index is a folder of immutable runs, each partitioned by hash prefix. A run has one row per prefix (in chunks): the
 sorted 16-byte identifiers of that prefix, one after the other in one binary value, and the delivery that was kept
 for each. An incoming batch is first deduplicated by itself (a partial aggregate, so a hot identifier collapses before
 the shuffle), then co-grouped with the runs by prefix and binary-searched; the novel identifiers make the next run.
-After every ``merge_every`` batches the runs are merged into one. Nothing but the list of runs is on the driver.
+Only the folders of prefixes that the batch touches are read. Runs are merged by size: when ``merge_every`` runs of one
+level are there, they become one run of the next, so an identifier is rewritten once a level. The list of runs is a
+file in the folder, replaced with each batch, so another session can open the index and go on.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
+from collections import Counter
 from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayist.functions.characters import plain
-from assayist.session import shared_dir
+from assayist.session import shared_dir, written
 
 #: Identifiers in one chunk of a run: 16 MB of them.
 CHUNK = 1 << 20
@@ -77,67 +81,109 @@ def _merged(runs: pa.Table) -> pa.Table:
     return _run(runs["prefix"][0].as_py(), _keys(runs["ids"].to_pylist()), kept.flatten().to_numpy(zero_copy_only=False))
 
 
+_LIST = "seq int, name string, level int, bits int"
+
+
 class DeliveryIndex:
-    """An index of the identifiers seen so far, kept as runs in ``root`` (the shared folder unless given).
+    """An index of the identifiers seen so far, kept as runs in ``root`` (a folder of the shared one unless given).
 
     ``prefix_bits`` fixes the number of hash prefixes; :meth:`sized` chooses it so that a prefix of ``expected``
-    identifiers holds about half a million.
+    identifiers holds about half a million. :meth:`open` takes up an index that another session has left.
     """
 
     def __init__(self, spark: SparkSession, prefix_bits: int, root: str | None = None, merge_every: int = 4):
         self.spark, self.bits, self.merge_every = spark, prefix_bits, merge_every
         self.root = root or f"{shared_dir(spark).rstrip('/')}/delivery-index-{uuid.uuid4().hex}"
-        self.runs: list[str] = []
-        self._made = 0
+        self.runs: list[tuple[str, int]] = []  # (name, level), the oldest first
+        self._seq = 0
 
     @classmethod
     def sized(cls, spark: SparkSession, expected: int, **more) -> DeliveryIndex:
         return cls(spark, max(5, math.ceil(math.log2(max(1, expected / 500_000)))), **more)
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(*paths) if paths else self.spark.createDataFrame([], RUN)
-
-    def _write(self, run: DataFrame) -> str:
-        self._made += 1
-        run.write.parquet(path := f"{self.root}/run-{self._made:06d}")
-        return path
+    @classmethod
+    def open(cls, spark: SparkSession, root: str, merge_every: int = 4) -> DeliveryIndex:
+        """The index in ``root`` as its last complete batch left it; a folder without one is an error."""
+        rows = spark.read.schema(_LIST).json(f"{root}/lists/*")
+        last = rows.agg(F.max("seq")).first()[0]
+        listed = sorted(rows.filter(F.col("seq") == last).collect(), key=lambda r: r["name"] or "")
+        index = cls(spark, listed[0]["bits"], root, merge_every)
+        index._seq, index.runs = last, [(r["name"], r["level"]) for r in listed if r["name"]]
+        return index
+
+    def _read(self, runs: list[tuple[str, int]], prefixes: list[int] | None = None) -> DataFrame:
+        """Rows of runs; of the given prefixes only, whose folders are the only ones that are read."""
+        parts = [self.spark.read.schema(RUN).option("basePath", f"{self.root}/{name}").parquet(f"{self.root}/{name}") for name, _ in runs]
+        out = reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], RUN)
+        return out if prefixes is None else out.filter(F.col("prefix").isin(prefixes))
+
+    def _write(self, run: DataFrame, level: int) -> tuple[str, int]:
+        name = f"run-{self._seq:06d}-{level}-{uuid.uuid4().hex[:8]}"
+        run.write.partitionBy("prefix").parquet(f"{self.root}/{name}")
+        return name, level
+
+    def _commit(self) -> None:
+        """Put the list of runs beside the older ones; a reader takes the newest complete one."""
+        self._seq += 1
+        rows = [(self._seq, n, v, self.bits) for n, v in self.runs] or [(self._seq, None, None, self.bits)]
+        self.spark.createDataFrame(rows, _LIST).coalesce(1).write.json(f"{self.root}/lists/{self._seq:06d}")
 
     def add(self, batch: DataFrame, key: str, order: list[str], delivery: str) -> None:
         """Take in a batch: of each identifier that is novel, the first row by ``order`` is kept (nulls last)."""
         first = F.min(F.struct(*(x for c in order for x in (F.col(c).isNull().alias(f"_n_{c}"), F.col(c).alias(c)))))
         own = batch.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(first.alias("_f")).select(_prefix(F.col("key"), self.bits).alias("prefix"), "key", F.col(f"_f.{delivery}").alias("kept"))
-        found = own.groupBy("prefix").cogroup(self._read(self.runs).groupBy("prefix")).applyInArrow(_novel, RUN)
-        self.runs.append(self._write(found))
-        if len(self.runs) >= self.merge_every:
-            self.merge()
-
-    def merge(self) -> None:
-        """Merge all runs into one; the old ones stay untouched for readers that still hold them."""
-        self.runs = [self._write(self._read(self.runs).groupBy("prefix").applyInArrow(_merged, RUN))]
+        if self.runs:
+            own = written(own, "batch")
+            touched = [r[0] for r in own.select("prefix").distinct().collect()]  # at most 2**bits numbers
+            found = own.groupBy("prefix").cogroup(self._read(self.runs, touched).groupBy("prefix")).applyInArrow(_novel, RUN)
+        else:
+            found = own.groupBy("prefix").applyInArrow(lambda t: _run(t["prefix"][0].as_py(), _keys(t["key"].to_pylist()), t["kept"].to_numpy()), RUN)
+        self.runs.append(self._write(found, 0))
+        self.merge()
+        self._commit()
+
+    def merge(self, everything: bool = False) -> None:
+        """Merge runs of one level into one of the next; with ``everything`` all runs. The old ones stay for readers that still hold them."""
+        while everything or max(Counter(v for _, v in self.runs).values(), default=0) >= self.merge_every:
+            level = max(v for _, v in self.runs) if everything else min(v for v, n in Counter(v for _, v in self.runs).items() if n >= self.merge_every)
+            group = [r for r in self.runs if everything or r[1] == level]
+            if len(group) < 2:
+                return
+            one = self._write(self._read(group).groupBy("prefix").applyInArrow(_merged, RUN), level + 1)
+            self.runs = [r for r in self.runs if r not in group] + [one]
+            everything = False
 
     def kept(self) -> DataFrame:
         """The kept deliveries, one row each."""
         return self._read(self.runs).select(F.explode("kept").alias("kept"))
 
 
-def index_deliveries(df: DataFrame, id_col: str, time_col: str, delivery_col: str, batches: int = 4, merge_every: int = 4) -> DeliveryIndex:
-    """Replay a table through a :class:`DeliveryIndex` in ``batches`` slices of time, the earliest first.
+def _identified(df: DataFrame, id_col: str, time_col: str, delivery_col: str) -> DataFrame:
+    return df.select(identifier(F.col(id_col)).alias("_key"), F.unix_micros(F.col(time_col).cast("timestamp")).alias("_t"), F.col(delivery_col).alias("_d")).filter(F.col("_key").isNotNull())
 
-    Rows without a time come last. The first copy by (time, delivery) is the one that is kept.
+
+def index_deliveries(df: DataFrame, id_col: str, time_col: str, delivery_col: str, batches: int = 4, merge_every: int = 4) -> tuple[DeliveryIndex, DataFrame]:
+    """Replay a table through a :class:`DeliveryIndex` in ``batches`` slices of time, the earliest first; gives the index
+    and the identified rows (_key, _t, _d).
+
+    The table is read once and written by slice. Rows without a time come last. The first copy by (time, delivery) is the
+    one that is kept.
     """
-    t = F.unix_micros(F.col(time_col).cast("timestamp"))
-    lo, hi, n = df.agg(F.min(t), F.max(t), F.count("*")).first()
+    rows = _identified(df, id_col, time_col, delivery_col)
+    lo, hi, n = df.agg(F.min(time_col), F.max(time_col), F.count("*")).select(*(F.unix_micros(F.col(c).cast("timestamp")) for c in (f"min({time_col})", f"max({time_col})")), "count(1)").first()
     index = DeliveryIndex.sized(df.sparkSession, n, merge_every=merge_every)
-    rows = df.select(identifier(F.col(id_col)).alias("_key"), t.alias("_t"), F.col(delivery_col).alias("_d"))
-    cuts = [None] if lo is None else [lo + (hi - lo) * i // batches for i in range(batches)]
-    for i, cut in enumerate(cuts):
-        part = rows
-        if i:
-            part = part.filter((F.col("_t") >= cut) | (F.col("_t").isNull() if i == len(cuts) - 1 else F.lit(False)))
-        if i < len(cuts) - 1:
-            part = part.filter(F.col("_t") < cuts[i + 1])
-        index.add(part, "_key", ["_t", "_d"], "_d")
-    return index
+    step = None if lo is None else max(1, -(-(hi + 1 - lo) // batches))
+    part = F.lit(0) if lo is None else F.coalesce(F.floor((F.col("_t") - lo) / F.lit(step)).cast("int"), F.lit(batches - 1))
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/slices-{uuid.uuid4().hex}"
+    rows.withColumn("_slice", part).write.partitionBy("_slice").parquet(path)
+    sliced = df.sparkSession.read.schema(f"{_types(rows)}, _slice int").parquet(path)
+    for i in range(batches if lo is not None else 1):
+        index.add(sliced.filter(F.col("_slice") == i), "_key", ["_t", "_d"], "_d")
+    return index, sliced
+
+
+def _types(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
 
 
 def repeated_deliveries(df: DataFrame, id_col: str, time_col: str, delivery_col: str, **more) -> DataFrame:
@@ -146,9 +192,8 @@ def repeated_deliveries(df: DataFrame, id_col: str, time_col: str, delivery_col:
     Rows with a null or blank identifier are never dropped; a null time sorts last; a tie goes to the smallest delivery.
     ``delivery_col`` must be unique and not null. Empty tables give no rows; other columns don't matter.
     """
-    kept = index_deliveries(df, id_col, time_col, delivery_col, **more).kept()
-    rows = df.filter(identifier(F.col(id_col)).isNotNull()).select(delivery_col)
-    return rows.join(kept, rows[delivery_col] == kept["kept"], "left_anti")
+    index, rows = index_deliveries(df, id_col, time_col, delivery_col, **more)
+    return rows.select(F.col("_d").alias(delivery_col)).join(index.kept(), F.col(delivery_col) == F.col("kept"), "left_anti")
 
 
 def deliver_once(df: DataFrame, id_col: str, time_col: str, delivery_col: str, **more) -> DataFrame:

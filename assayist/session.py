@@ -17,9 +17,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the cluster's ``spark.checkpoint.dir``, else a folder of our own (tests)."""
+    """The folder all executors share: the cluster's ``spark.checkpoint.dir``; on one machine, where it is unset, a folder of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="assayist-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -27,12 +29,6 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back."""
     spark = df.sparkSession

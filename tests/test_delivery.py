@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -45,5 +46,20 @@ def test_index_takes_batches_as_they_come(spark):
         batch = spark.createDataFrame([(bytes([i]) + b"\0" * 15, i + 100 * k) for i in range(k, k + 5)], "key binary, d bigint")
         index.add(batch, "key", ["d"], "d")
     assert sorted(r.kept for r in index.kept().collect()) == [0, 1, 2, 3, 4, 105, 206, 307]
-    assert len(index.runs) <= 3
-    assert index_deliveries(spark.createDataFrame([], SCHEMA), "evaluation_id", "delivered_at", "delivery_id").kept().count() == 0
+    assert len(index.runs) <= 3 and {v for _, v in index.runs} == {0, 1}
+    assert index_deliveries(spark.createDataFrame([], SCHEMA), "evaluation_id", "delivered_at", "delivery_id")[0].kept().count() == 0
+
+
+def test_another_session_goes_on(spark):
+    """The index is opened from its folder; a batch that touches one prefix reads that prefix only."""
+    rows = lambda a, b, k: spark.createDataFrame([(bytes([i]) * 16, i + k) for i in range(a, b)], "key binary, d bigint")
+    index = DeliveryIndex(spark, prefix_bits=3)
+    index.add(rows(0, 40, 0), "key", ["d"], "d")
+    again = DeliveryIndex.open(spark.newSession(), index.root)
+    assert again.bits == 3 and again.runs == index.runs
+    again.add(again.spark.createDataFrame(rows(35, 45, 100).collect(), "key binary, d bigint"), "key", ["d"], "d")
+    assert sorted(r.kept for r in DeliveryIndex.open(spark, index.root).kept().collect()) == [*range(40), *range(140, 145)]
+    plan = index._read(index.runs, [2])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(prefix" in plan and "prefix#" in plan
+    with pytest.raises(Exception, match="lists"):
+        DeliveryIndex.open(spark, DeliveryIndex(spark, 1).root + "-none")
