@@ -55,11 +55,31 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b, 1) >= 0
 
 
-def search_route(found: Column, name: Column, droppable: list[str]) -> Column:
-    """How words ``found`` on a label contain a ``name``: 1 exact, 2 run, 3 shortened run, 4 joined letters, 5 one edit, null."""
-    f, n, short = without_article(found), without_article(name), shortened(without_article(name), droppable)
-    a, b = F.array_join(f, ""), F.array_join(n, "")
-    return F.when(f == n, 1).when(has_run(f, n), 2).when((F.size(short) > 1) & has_run(f, short), 3).when((F.length(b) >= 5) & (a == b), 4).when((F.length(b) >= 8) & within_one_edit(a, b), 5)
+#: How a line shows a name, the strongest first.
+ROUTES = ["exact", "punctuation", "within", "shortened", "misread"]
+
+
+def search_route(line: Column, name: Column, droppable: list[str], least: int = 3, within: int = 5, misread: int = 8) -> Column:
+    """Number (from 1) of the ROUTES by which a ``line`` shows a ``name``; null for none.
+
+    The line is the name; or is it without punctuation and blanks; or holds its words as a run, if the name has two words or
+    ``within`` letters; or is the name less its droppable last words; or is either of these with one letter different, if
+    that has ``misread`` letters. Names of fewer than ``least`` letters aren't searched for.
+    """
+    a, b = canonical(line), canonical(name)
+    seen, target = skeleton(a), skeleton(b)
+    words = without_article(norm_words(name))
+    short = F.array_join(shortened(words, droppable), "")
+    run = ((F.size(words) >= 2) | (F.length(target) >= within)) & has_run(without_article(norm_words(line)), words)
+    near = lambda form: (F.length(form) >= misread) & within_one_edit(seen, form)
+    route = F.when(a == b, 1).when(seen == target, 2).when(run, 3).when((F.length(short) >= least) & (seen == short), 4).when(near(target) | near(short), 5)
+    return F.when(F.length(target) >= least, route)
+
+
+def best_route(lines: Column, names: Column, droppable: list[str], **lengths: int) -> Column:
+    """struct<route, name, line> (numbers, names and lines from 0) of the strongest route of any line to any name, the earlier name and line on a tie; null for none."""
+    pairs = F.flatten(F.transform(names, lambda n, j: F.transform(lines, lambda x, i: F.struct(search_route(x, n, droppable, **lengths).alias("route"), j.alias("name"), i.alias("line")))))
+    return F.array_min(F.filter(pairs, lambda p: p.route.isNotNull()))
 
 
 def _jw(a: str | None, b: str | None) -> float | None:
@@ -93,16 +113,27 @@ def _jaro_winkler(a: pa.Array, b: pa.Array) -> pa.Array:
 jaro_winkler = F.arrow_udf(_jaro_winkler, T.DoubleType())
 
 
+def _best(score):
+    """The best score of a text with any of an array of others, in Arrow batches; 0 without any. Each pair is rated once."""
+
+    def run(a: pa.Array, others: pa.Array) -> pa.Array:
+        seen: dict[tuple[str, str], float] = {}
+        rate = lambda x, y: seen[x, y] if (x, y) in seen else seen.setdefault((x, y), score(x, y))
+        return pa.array([max((rate(x, y) for y in ys or () if y is not None), default=0.0) if x is not None else 0.0 for x, ys in zip(a.to_pylist(), others.to_pylist(), strict=True)], pa.float64())
+
+    return F.arrow_udf(run, T.DoubleType())
+
+
+best_similarity = _best(lambda a, b: _jw(a, b) if a and b else 0.0)
+#: The same without first letters, where these differ; else 0.
+best_variant = _best(lambda a, b: _jw(a[1:], b[1:]) if len(a) > 1 and len(b) > 1 and a[0] != b[0] else 0.0)
+
+
 def nfkc(form: str = "NFKC"):
     """Unicode normalization in Arrow batches."""
     return F.arrow_udf(lambda v: pa.array([x if x is None else unicodedata.normalize(form, x) for x in v.to_pylist()], pa.string()), T.StringType())
 
 
-def first_letter_variant(a: Column, b: Column) -> Column:
-    """Whether two names differ in their first letter only."""
-    return (F.length(a) > 1) & (F.length(a) == F.length(b)) & (F.substring(a, 1, 1) != F.substring(b, 1, 1)) & (F.substr(a, F.lit(2)) == F.substr(b, F.lit(2)))
-
-
 def first_number(c: Column) -> Column:
     return F.regexp_extract(c, r"[0-9]+(?:\.[0-9]+)?", 0).try_cast("double")
 
@@ -133,12 +164,12 @@ def sorted_json(fields: dict[str, Column]) -> Column:
 
 
 def file_key(c: Column) -> Column:
-    """The label that an image file belongs to: lower case, without extension and the name of a face."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"\.(jpg|jpeg|png)$", ""), "-(front|back|neck|side)$", "")
+    """The label that an image file belongs to: lower case, without extension and the name of one of the two faces."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"\.(jpg|jpeg|png)$", ""), "-(front|back)$", "")
 
 
 def file_face(c: Column) -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(F.regexp_replace(F.lower(F.trim(c)), r"\.(jpg|jpeg|png)$", ""), "-(front|back|neck|side)$", 1), F.lit("")), F.lit("front"))
+    return F.coalesce(F.nullif(F.regexp_extract(F.regexp_replace(F.lower(F.trim(c)), r"\.(jpg|jpeg|png)$", ""), "-(front|back)$", 1), F.lit("")), F.lit("front"))
 
 
 def trade_names(c: Column, mark: str = "(used on label)") -> Column:
@@ -149,19 +180,35 @@ def trade_names(c: Column, mark: str = "(used on label)") -> Column:
     return F.array_distinct(F.filter(named, lambda x: x != ""))
 
 
+_TARGET = "struct<title:int,part:string,section:string,subpart:string,paragraph:string>"
+
+
 def citations(c: Column) -> Column:
-    """Sections of a regulation citation such as "27 CFR 5.63(a), 5.65": array of (title, section, paragraph); null if any part can't be read."""
-    item = r"^(?:(\d+)\s*(?i:cfr)\s*)?(?:§+\s*)?(\d+\.\d+[a-z]?)((?:\([a-z0-9]+\))*)$"
-    start = F.struct(F.lit(None).cast("string").alias("title"), F.array().cast("array<struct<title:string,section:string,paragraph:string>>").alias("acc"), F.lit(True).alias("ok"))
-
-    def step(s: Column, part: Column) -> Column:
-        x = F.trim(part)
-        title = F.coalesce(F.nullif(F.regexp_extract(x, item, 1), F.lit("")), s.title)
-        entry = F.struct(title.alias("title"), F.regexp_extract(x, item, 2).alias("section"), F.nullif(F.regexp_extract(x, item, 3), F.lit("")).alias("paragraph"))
-        good = s.ok & x.rlike(item) & title.isNotNull()
-        return F.struct(title.alias("title"), F.when(good, F.concat(s.acc, F.array(entry))).otherwise(s.acc).alias("acc"), good.alias("ok"))
-
-    return F.aggregate(F.split(c, r"[,;]"), start, step, lambda s: F.when(s.ok, s.acc))
+    """Targets of a regulation citation such as "27 CFR §5.63(a), §5 Subpart I, Subpart J": array of (title, part, section,
+    subpart, paragraph); null if any part of it can't be read. The title leads; it may change on the way, and a subpart
+    takes the part of the reference before it, within one title."""
+    title_, section_, part_, bare_ = r"^(\d+)\s+CFR\s*(.*)$", r"^§\s*(\d+)\.(\d+[a-z]?)((?:\([^()]+\))*)$", r"^§\s*(\d+)\s+Subpart\s+([A-Z]+)$", r"^Subpart\s+([A-Z]+)$"
+    none, group = F.lit(None).cast("string"), lambda x, p, i: F.nullif(F.regexp_extract(x, p, i), F.lit(""))
+    start = F.struct(none.cast("int").alias("title"), none.alias("part"), F.array().cast(f"array<{_TARGET}>").alias("acc"), F.lit(True).alias("ok"))
+
+    def step(s: Column, chunk: Column) -> Column:
+        x = F.trim(chunk)
+        anew = x.rlike(title_)
+        ref = F.when(anew, F.trim(F.regexp_extract(x, title_, 2))).otherwise(x)
+        title, kept = F.coalesce(group(x, title_, 1).cast("int"), s.title), F.when(~anew, s.part)
+        part = F.coalesce(group(ref, section_, 1), group(ref, part_, 1), kept)
+        number = F.when(ref.rlike(section_), F.concat(part, F.lit("."), F.regexp_extract(ref, section_, 2)))
+        subpart = F.coalesce(group(ref, part_, 2), group(ref, bare_, 1))
+        good = s.ok & title.isNotNull() & (ref.rlike(section_) | ref.rlike(part_) | (ref.rlike(bare_) & part.isNotNull()))
+        target = F.struct(title.alias("title"), part.alias("part"), number.alias("section"), subpart.alias("subpart"), group(ref, section_, 3).alias("paragraph")).cast(_TARGET)
+        return F.struct(title.alias("title"), part.alias("part"), F.when(good, F.concat(s.acc, F.array(target))).otherwise(s.acc).alias("acc"), good.alias("ok"))
+
+    return F.aggregate(F.split(c, ","), start, step, lambda s: F.when(s.ok, s.acc))
+
+
+def target_key(t: Column) -> Column:
+    """The name under which a citation's target is kept: title and section, or title, part and subpart."""
+    return F.coalesce(F.concat_ws(" ", t.title.cast("string"), F.when(t.subpart.isNull(), t.section).otherwise(F.concat(t.part, F.lit(" Subpart "), t.subpart))), F.lit(""))
 
 
 def uncertain_code(code: Column) -> Column:

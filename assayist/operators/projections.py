@@ -36,12 +36,6 @@ def form_record(df: DataFrame, fields: list[str], kind: str, kinds: list[str]) -
     return df.withColumn("fault", F.when(F.col(kind).isNull() & stated, "no type").when(~F.col(kind).isin(kinds), "unknown type"))
 
 
-def proofs(text: Column) -> Column:
-    """Figures that are said to be proof, as printed: array<string>, in order, without repeats; ranges and parts of numbers left out."""
-    pattern = r"(?i)(?<![\d.\-–])(\d{1,3}(?:\.\d+)?)\s*(?:°|degrees?)?\s*(?:u\.?s\.?\s*)?proof\b"
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 1))
-
-
 def text_as_written(source: Column, words: Column) -> Column:
     """The stretch of ``source`` that spells ``words`` (array, lower case), whatever stands between them; null if there is none."""
     quoted = F.transform(words, lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E")))

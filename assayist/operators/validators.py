@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from assayist.functions import marks as M
 from assayist.functions import text as X
 
 
@@ -131,13 +132,27 @@ def regex_format(i: Inputs) -> Column:
 
 @register("brand")
 def brand(i: Inputs) -> Column:
-    """A cascade over the admissible names; needs ``similarity`` (Jaro-Winkler of the canonical forms) in ``extra``. Never fails."""
-    read, name = X.canonical(i.reading), X.canonical(i.expected)
-    rw, nw = X.without_article(X.norm_words(i.reading)), X.without_article(X.norm_words(i.expected))
-    sim = F.coalesce(i.extra.get("similarity", F.lit(None).cast("double")), F.lit(0.0))
+    """A cascade over the admissible names: the declared one, the ``fanciful`` one and the ``trade_names``. Never fails.
+
+    ``extra``: fanciful, trade_names (array), lines (array of the label's other lines). The declared and trade names are
+    searched for in the lines where the reading shows none, and where nothing was read.
+    """
+    none_, no_list = F.lit(None).cast("string"), F.array().cast("array<string>")
+    fanciful, trade, lines = i.extra.get("fanciful", none_), F.coalesce(i.extra.get("trade_names", no_list), no_list), F.coalesce(i.extra.get("lines", no_list), no_list)
+    stated = lambda a: F.filter(a, lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")
+    names = stated(F.concat(F.array(i.expected, fanciful), trade))
+    found = X.best_route(lines, stated(F.concat(F.array(i.expected), trade)), i.parameters.get("droppable", ["co"])).isNotNull()
+    read, rw = X.canonical(i.reading), X.without_article(X.norm_words(i.reading))
+    same = F.exists(names, lambda n: X.canonical(n) == read)
+    run = F.exists(names, lambda n: X.has_run(rw, X.without_article(X.norm_words(n))) | X.has_run(X.without_article(X.norm_words(n)), rw))
+    bare = X.skeleton(read)
+    marks = F.exists(names, lambda n: (X.skeleton(X.canonical(n)) == bare) & bare.rlike(r"[\p{L}\p{N}]"))
+    canon = F.transform(names, X.canonical)
+    sim = i.extra["similarity"] if "similarity" in i.extra else X.best_similarity(read, canon)
+    near, other = i.parameters.get("near", 0.85), X.best_variant(read, canon)
     return cases(
-        (i.undeclared, not_applicable()), (i.unlocated, not_read()), (read == name, ok()), (X.has_run(rw, nw) | X.has_run(nw, rw), ok()), ((X.skeleton(read) == X.skeleton(name)) & (X.skeleton(name) != ""), ok()), (sim >= i.parameters.get("same", 0.92), ok()),
-        (sim >= i.parameters.get("near", 0.85), verdict("INSUFFICIENT", "BRAND.NEAR", "pass")), (X.first_letter_variant(read, name), verdict("INSUFFICIENT", "BRAND.NEAR", "pass")), otherwise=verdict("INSUFFICIENT", "BRAND.UNCERTAIN", "fail"),
+        (i.undeclared, not_applicable()), (i.unlocated & found, ok()), (i.unlocated, not_read()), (same, ok()), (run, ok()), (marks, ok()), (sim >= i.parameters.get("same", 0.92), ok()), (found, ok()),
+        (sim >= near, verdict("INSUFFICIENT", "BRAND.NEAR", "pass")), (other >= near, verdict("INSUFFICIENT", "BRAND.NEAR", "pass")), otherwise=verdict("INSUFFICIENT", "BRAND.UNCERTAIN", "fail"),
     )
 
 
@@ -203,11 +218,20 @@ def proof_agreement(i: Inputs) -> Column:
 
 @register("verbatim")
 def verbatim(i: Inputs) -> Column:
-    """The text has the pinned hash after the canonical steps; a miss within ``tolerance`` edits of the pinned text is uncertain."""
+    """The text has the pinned hash after the canonical steps, with the named words (``initials``) in capitals; else the kind of difference decides.
+
+    Only hash misses are compared: what readers make, words that ``words`` hasn't and rearranged words are for a person.
+    """
     steps, pinned = i.parameters.get("steps", ["plain", "join_hyphens", "drop_ws", "casefold"]), i.parameters["text"]
     canon, want = X.apply_ops(i.reading, steps), X.apply_ops(F.lit(pinned), steps)
-    near = F.levenshtein(canon, want, int(i.parameters.get("tolerance", 3))) >= 0
-    return cases((i.unlocated, not_read()), (X.fingerprint(canon) == X.fingerprint(want), ok()), (near, verdict("INSUFFICIENT", "TEXT.READING")), otherwise=verdict("FAIL", "TEXT.DIFFERS"))
+    hit = X.fingerprint(canon) == X.fingerprint(want)
+    first, second = i.parameters.get("initials", ("surgeon", "general"))
+    spaced = [x for x in steps if x != "drop_ws"]
+    kind = M.difference_to(F.when(~hit, X.apply_ops(i.reading, spaced)), i.parameters.get("spaced", pinned), i.parameters.get("words", []))
+    return cases(
+        (i.unlocated, not_read()), (hit & M.small_initials(i.reading, first, second).isNotNull(), verdict("INSUFFICIENT", "TEXT.INITIALS")), (hit, ok()),
+        (kind == "reader", verdict("INSUFFICIENT", "TEXT.READING")), (kind == "unsure", verdict("INSUFFICIENT", "TEXT.UNSURE")), otherwise=verdict("FAIL", "TEXT.DIFFERS"),
+    )
 
 
 @register("quantity")
@@ -216,7 +240,7 @@ def quantity(i: Inputs) -> Column:
     amount, unit, declared = i.extra["amount"], i.extra["unit"], i.extra["declared"]
     factors: dict[str, float] = i.parameters["factors"]
     factor = reduce(lambda w, kv: w.when(unit == kv[0], F.lit(kv[1])), factors.items(), F.when(F.lit(False), 0.0))
-    margin = F.when(factor == 1.0, F.greatest(F.abs(declared) * 1e-9, F.lit(1e-9))).otherwise(F.abs(declared) * i.parameters.get("cross", 0.01))
+    margin = F.when(factor == 1.0, F.greatest(F.abs(declared) * 1e-9, F.lit(1e-9))).otherwise(F.greatest(F.abs(declared) * i.parameters.get("cross", 1e-9), F.lit(1e-9)))
     return cases((declared.isNull() & i.undeclared, not_applicable()), (declared.isNull(), verdict("INSUFFICIENT", "QUANTITY.UNSTATED")), (amount.isNull(), verdict("INSUFFICIENT", "QUANTITY.UNREAD")), (factor.isNull(), verdict("INSUFFICIENT", "QUANTITY.UNIT")), (F.abs(amount * factor - declared) <= margin, ok()), otherwise=verdict("FAIL", "QUANTITY.DIFFERS"))
 
 

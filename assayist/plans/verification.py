@@ -109,7 +109,7 @@ def format_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quantity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "lineitem").join(read_table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     unit = F.get(F.array(F.lit("ml"), F.lit("cl"), F.lit("floz")), F.pmod("l_linenumber", F.lit(3)))
-    i = validators.Inputs(F.lit(""), extra={"amount": F.col("l_quantity"), "unit": F.col("unit"), "declared": F.col("p_size") * 30.0}, parameters={"factors": {"ml": 1.0, "cl": 10.0, "floz": 29.5735295625}})
+    i = validators.Inputs(F.lit(""), extra={"amount": F.col("l_quantity"), "unit": F.col("unit"), "declared": F.col("p_size") * 30.0}, parameters={"factors": {"ml": 1.0, "cl": 10.0, "floz": 29.5735295625}, "cross": 0.01})
     return rows.withColumn("unit", unit).select("unit", validators.run("quantity", i).outcome.alias("outcome")).groupBy("unit", "outcome").agg(F.count("*").alias("n"))
 
 
@@ -127,7 +127,7 @@ _CAUTION = "CONSUMER CAUTION: (1) This drink holds alcohol and slows your judgem
 
 @query(f"SELECT finding_id FROM field_finding WHERE field_name = 'warning' AND sha256(lower(trim(regexp_replace(extracted_value, '\\s+', ' ', 'g')))) = sha256(lower('{_CAUTION}'))")
 def verbatim_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = validators.Inputs(F.col("extracted_value"), parameters={"text": _CAUTION, "steps": ["collapse_ws", "trim", "casefold"], "tolerance": 0})
+    i = validators.Inputs(F.col("extracted_value"), parameters={"text": _CAUTION, "steps": ["collapse_ws", "trim", "casefold"]})
     return read_table(spark, sf_dir, "field_finding").filter("field_name = 'warning'").filter(validators.run("verbatim", i).outcome == "PASS").select("finding_id")
 
 
@@ -147,10 +147,12 @@ def jaro_winkler_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def brand_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole brand cascade over both values of every brand finding."""
-    f = read_table(spark, sf_dir, "field_finding").filter("field_name = 'brand_name'").select("finding_id", "extracted_value", "expected_value", X.jaro_winkler(X.canonical(F.col("extracted_value")), X.canonical(F.col("expected_value"))).alias("sim"))
-    v = validators.run("brand", validators.Inputs(F.col("extracted_value"), F.col("expected_value"), extra={"similarity": F.col("sim")}))
-    return f.select("finding_id", v.alias("v")).select("finding_id", "v.outcome", "v.code")
+    """The whole brand cascade over both values of every brand finding; each distinct pair is compared once."""
+    f = read_table(spark, sf_dir, "field_finding").filter("field_name = 'brand_name'").select("finding_id", "extracted_value", "expected_value")
+    pair = ["extracted_value", "expected_value"]
+    v = validators.run("brand", validators.Inputs(F.col("extracted_value"), F.col("expected_value")))
+    rated = f.select(*pair).distinct().select(F.col(pair[0]).alias("a"), F.col(pair[1]).alias("b"), v.alias("v"))
+    return f.join(rated, F.col(pair[0]).eqNullSafe(F.col("a")) & F.col(pair[1]).eqNullSafe(F.col("b"))).select("finding_id", "v.outcome", "v.code")
 
 
 @query()
@@ -315,13 +317,13 @@ def batch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 _IMAGES = "SELECT application_id, unnest(labels).image_ref AS image_ref FROM application"
 
 
-@query(f"SELECT application_id, image_ref, regexp_replace(lower(image_ref), '-(front|back|neck|side)$', '') AS file_key, coalesce(nullif(regexp_extract(lower(image_ref), '-(front|back|neck|side)$', 1), ''), 'front') AS face FROM ({_IMAGES})")
+@query(f"SELECT application_id, image_ref, regexp_replace(lower(image_ref), '-(front|back)$', '') AS file_key, coalesce(nullif(regexp_extract(lower(image_ref), '-(front|back)$', 1), ''), 'front') AS face FROM ({_IMAGES})")
 def image_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = read_table(spark, sf_dir, "application").select("application_id", F.explode("labels.image_ref").alias("image_ref"))
     return f.select("application_id", "image_ref", X.file_key(F.col("image_ref")).alias("file_key"), X.file_face(F.col("image_ref")).alias("face"))
 
 
-@query(f"SELECT label, count(*) AS n_faces, min(image_ref) AS arrived FROM (SELECT image_ref, CASE WHEN n = 1 THEN key ELSE key || '#' || face || '#' || n END AS label FROM (SELECT image_ref, regexp_replace(lower(image_ref), '-(front|back|neck|side)$', '') AS key, coalesce(nullif(regexp_extract(lower(image_ref), '-(front|back|neck|side)$', 1), ''), 'front') AS face, row_number() OVER (PARTITION BY regexp_replace(lower(image_ref), '-(front|back|neck|side)$', ''), coalesce(nullif(regexp_extract(lower(image_ref), '-(front|back|neck|side)$', 1), ''), 'front') ORDER BY image_ref) AS n FROM ({_IMAGES}))) GROUP BY 1")
+@query(f"SELECT label, count(*) AS n_faces, min(image_ref) AS arrived FROM (SELECT image_ref, CASE WHEN n = 1 THEN key ELSE key || '#' || face || '#' || n END AS label FROM (SELECT image_ref, regexp_replace(lower(image_ref), '-(front|back)$', '') AS key, coalesce(nullif(regexp_extract(lower(image_ref), '-(front|back)$', 1), ''), 'front') AS face, row_number() OVER (PARTITION BY regexp_replace(lower(image_ref), '-(front|back)$', ''), coalesce(nullif(regexp_extract(lower(image_ref), '-(front|back)$', 1), ''), 'front') ORDER BY image_ref) AS n FROM ({_IMAGES}))) GROUP BY 1")
 def face_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = read_table(spark, sf_dir, "application").select(F.explode("labels.image_ref").alias("image_ref"))
     f = f.select("image_ref", X.file_key(F.col("image_ref")).alias("stem"), X.file_face(F.col("image_ref")).alias("face"))

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from assayist.functions.marks import proofs
 from assayist.operators import projections as P
 
 
@@ -8,7 +9,7 @@ def test_scalars(spark):
     lit = lambda x: F.lit(x).cast("string")
     assert one(P.reading_text([lit("a"), lit(None), lit("  "), lit("b")])) == "a, b" and one(P.reading_text([lit(None)])) == ""
     assert [one(P.display_amount(F.lit(x).cast("double"), lit(u))) for x, u in ((750.0, "mL"), (12.5, "%"), (None, "mL"), (40.0, None))] == ["750 mL", "12.5 %", None, "40"]
-    assert one(P.proofs(lit("90 Proof, 90 PROOF or 45.5° proof; 80-90 proof; 1290 proof"))) == ["90", "45.5"]
+    assert one(proofs(lit("90 Proof, 90 PROOF or 45.5° proof; 80-90 proof; 1290 proof"))) == ["90", "90", "45.5"]
     assert one(P.text_as_written(lit("By the OLD—Mill, Co."), F.array(F.lit("old"), F.lit("mill")))) == "OLD—Mill"
     assert one(P.text_as_written(lit("gold mill"), F.array(F.lit("old"), F.lit("mill")))) is None
     codes = lambda *x: F.array(*map(F.lit, x))

@@ -76,22 +76,24 @@ def test_proof_verbatim_quantity(spark):
     assert check(40.0, ("90", False)) == "INSUFFICIENT"
     assert check(40.0, ("180", True)) == "INSUFFICIENT"  # an extra 1 read
     assert check(None, ("80", True)) == "INSUFFICIENT"
-    t = {"text": "Keep away from fire."}
+    t = {"text": "Keep away from fire.", "words": "keep away from fire near the please".split()}
     assert outcome(spark, "verbatim", "KEEP  AWAY from\nfire.", parameters=t)[0] == "PASS"
     assert outcome(spark, "verbatim", "Keep away from fyre.", parameters=t)[0] == "INSUFFICIENT"
-    assert outcome(spark, "verbatim", "Keep near the fire, please.", parameters=t)[0] == "FAIL"
-    q = lambda a, u, d: outcome(spark, "quantity", "", "x", parameters={"factors": {"ml": 1.0, "l": 1000.0}}, amount=a, unit=u, declared=d)[0]
+    assert outcome(spark, "verbatim", "Keep away near fire.", parameters=t)[0] == "FAIL"
+    assert outcome(spark, "verbatim", "Keep fyre away from.", parameters={"text": t["text"]})[0] == "FAIL"  # without a list of words
+    q = lambda a, u, d: outcome(spark, "quantity", "", "x", parameters={"factors": {"ml": 1.0, "l": 1000.0}, "cross": 0.01}, amount=a, unit=u, declared=d)[0]
     assert [q(750.0, "ml", 750.0), q(0.755, "l", 750.0), q(751.0, "ml", 750.0), q(1.0, "barrel", 750.0), q(None, "ml", 750.0)] == ["PASS", "PASS", "FAIL", "INSUFFICIENT", "INSUFFICIENT"]
+    assert outcome(spark, "quantity", "", "x", parameters={"factors": {"ml": 1.0, "l": 1000.0}}, amount=0.755, unit="l", declared=750.0)[0] == "FAIL"  # no margin unless a rule gives one
 
 
 def test_text(spark):
     one = lambda c: spark.range(1).select(c.alias("v")).first().v
     assert one(X.shortened(X.norm_words(F.lit("Old Mill Distilling Company")), ["company", "distilling"])) == ["old", "mill"]
     assert one(X.shortened(X.norm_words(F.lit("Company")), ["company"])) == []
-    assert [one(X.search_route(X.norm_words(F.lit(f)), X.norm_words(F.lit("Old Mill Company")), ["company"])) for f in ("old mill company", "fine old mill company rye", "an old mill", "OldMill Company", "old mil company", "other")] == [1, 2, 3, 4, 5, None]
+    assert [one(X.search_route(F.lit(f), F.lit("Old Mill Company"), ["company"])) for f in ("old mill company", "fine old mill company rye", "an old mill", "old mill", "OldMill Company", "old mil company", "other")] == [1, 3, None, 4, 2, 5, None]
     assert one(X.trade_names(F.lit("A Co, 1 Main St, Albany NY 12345 Blue Hen (Used on label), Red Hen (used on label)"))) == ["Blue Hen", "Red Hen"]
-    assert [(c.title, c.section, c.paragraph) for c in one(X.citations(F.lit("27 CFR 5.63(a)(1), 5.65; 28 CFR 16.21")))] == [("27", "5.63", "(a)(1)"), ("27", "5.65", None), ("28", "16.21", None)]
-    assert one(X.citations(F.lit("27 CFR 5.63, nonsense"))) is None
+    assert [(c.title, c.section, c.paragraph) for c in one(X.citations(F.lit("27 CFR §5.63(a)(1), §5.65, 28 CFR §16.21")))] == [(27, "5.63", "(a)(1)"), (27, "5.65", None), (28, "16.21", None)]
+    assert one(X.citations(F.lit("27 CFR §5.63, nonsense"))) is None and one(X.citations(F.lit("27 CFR 5.63"))) is None
     assert one(X.framed(F.lit("ab"), F.lit("c"))) != one(X.framed(F.lit("a"), F.lit("bc")))
     assert one(X.version_key(F.lit("0.10.0")) > X.version_key(F.lit("0.2.0")))
     assert one(X.nfkc()(F.lit("ﬁ"))) == "fi"
