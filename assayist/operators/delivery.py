@@ -159,7 +159,7 @@ class DeliveryIndex:
 
 
 def _identified(df: DataFrame, id_col: str, time_col: str, delivery_col: str) -> DataFrame:
-    return df.select(identifier(F.col(id_col)).alias("_key"), F.unix_micros(F.col(time_col).cast("timestamp")).alias("_t"), F.col(delivery_col).alias("_d")).filter(F.col("_key").isNotNull())
+    return df.select(identifier(F.col(id_col)).alias("_key"), F.unix_micros(F.col(time_col).cast("timestamp")).alias("_t"), F.col(delivery_col).alias("_d"))
 
 
 def index_deliveries(df: DataFrame, id_col: str, time_col: str, delivery_col: str, batches: int = 4, merge_every: int = 4) -> tuple[DeliveryIndex, DataFrame]:
@@ -176,7 +176,7 @@ def index_deliveries(df: DataFrame, id_col: str, time_col: str, delivery_col: st
     part = F.lit(0) if lo is None else F.coalesce(F.floor((F.col("_t") - lo) / F.lit(step)).cast("int"), F.lit(batches - 1))
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/slices-{uuid.uuid4().hex}"
     rows.withColumn("_slice", part).write.partitionBy("_slice").parquet(path)
-    sliced = df.sparkSession.read.schema(f"{_types(rows)}, _slice int").parquet(path)
+    sliced = df.sparkSession.read.schema(f"{_types(rows)}, _slice int").parquet(path).filter("_key is not null")  # filtered here, so that identifiers are made once
     for i in range(batches if lo is not None else 1):
         index.add(sliced.filter(F.col("_slice") == i), "_key", ["_t", "_d"], "_d")
     return index, sliced
