@@ -107,7 +107,8 @@ def _jw(a: str | None, b: str | None) -> float | None:
 
 
 def _jaro_winkler(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([_jw(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+    seen: dict[tuple, float | None] = {}
+    return pa.array([seen[p] if p in seen else seen.setdefault(p, _jw(*p)) for p in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
 
 
 jaro_winkler = F.arrow_udf(_jaro_winkler, T.DoubleType())

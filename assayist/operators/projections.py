@@ -22,6 +22,18 @@ def display_amount(amount: Column, unit: Column) -> Column:
     return F.when(amount.isNotNull(), F.trim(F.concat_ws(" ", display_number(amount), unit)))
 
 
+def display_reading(field: Column, text: Column, printed: Column, amount: Column, unit: Column, heading: Column) -> Column:
+    """A reading as the card shows it: the printed statement before the figure, amounts with their unit, the heading before a text that doesn't hold it."""
+    stated = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
+    headed = F.when(stated(heading).isNotNull() & ~F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lower(heading)), F.concat_ws(" ", stated(heading), stated(text))).otherwise(text)
+    return F.coalesce(F.when(field == "alcohol", F.coalesce(stated(printed), display_amount(amount, unit))).when(field == "contents", display_amount(amount, unit)).when(field == "warning", headed), stated(text), F.lit(""))
+
+
+def unreadable(fields: Column) -> Column:
+    """Whether a face has nothing but the word of the quality gate: one observation, of the field ``quality``."""
+    return (F.size(fields) == 1) & (F.get(fields, F.lit(0)) == "quality")
+
+
 def slot(field: Column, slots: dict[str, str]) -> Column:
     """The output slot of a field, null for a field without one."""
     return F.try_element_at(F.create_map(*(F.lit(x) for kv in slots.items() for x in kv)), field) if slots else F.lit(None).cast("string")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayist.functions import text as X
+from assayist.plans import folding
 from assayist.operators import engine, layout, projections, validators, verdict, windows
 from assayist.session import read_table, shared_dir
 from assayist.sources.readers import batch_items
@@ -131,15 +132,9 @@ def verbatim_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "field_finding").filter("field_name = 'warning'").filter(validators.run("verbatim", i).outcome == "PASS").select("finding_id")
 
 
-@query("SELECT finding_id, round(jaro_winkler_similarity(lower(extracted_value), lower(expected_value)), 6) AS similarity FROM field_finding WHERE field_name = 'brand_name' AND regexp_full_match(extracted_value, '[ -~]+') AND regexp_full_match(expected_value, '[ -~]+')")
+@query(f"SELECT finding_id, CASE WHEN a = '' OR b = '' THEN 0 ELSE round(jaro_winkler_similarity(a, b), 6) END AS similarity FROM (SELECT finding_id, {folding.letters('extracted_value')} AS a, {folding.letters('expected_value')} AS b FROM field_finding WHERE field_name = 'brand_name' AND extracted_value <> '' AND expected_value <> '')")
 def jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = read_table(spark, sf_dir, "field_finding").filter((F.col("field_name") == "brand_name") & F.col("extracted_value").rlike("^[ -~]+$") & F.col("expected_value").rlike("^[ -~]+$"))
-    return f.select("finding_id", F.round(X.jaro_winkler(F.lower("extracted_value"), F.lower("expected_value")), 6).alias("similarity"))
-
-
-@query()
-def jaro_winkler_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every brand finding with two values, in plain letters; ``jaro_winkler`` is the part of it in printable ASCII, where DuckDB's bytes are letters. What shows no letter is like nothing."""
+    """Every brand finding with two values, in plain letters; each distinct pair is rated once. What shows no letter is like nothing."""
     folded = lambda c: F.lower(X.plain(F.col(c)))
     f = read_table(spark, sf_dir, "field_finding").filter("field_name = 'brand_name' and extracted_value <> '' and expected_value <> ''").select("finding_id", folded("extracted_value").alias("a"), folded("expected_value").alias("b"))
     return f.select("finding_id", F.when((F.col("a") == "") | (F.col("b") == ""), 0.0).otherwise(F.round(X.jaro_winkler("a", "b"), 6)).alias("similarity"))
@@ -362,15 +357,9 @@ def privacy_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blanked(read_table(spark, sf_dir, "field_finding").select("finding_id", "extracted_value", "label_ref", "reason_code"))
 
 
-@query("SELECT doc_id, contains(' ' || array_to_string(regexp_extract_all(lower(text), '([0-9a-z]+|&)'), ' ') || ' ', ' net contents line ') AS has_run FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]+')")
+@query(f"SELECT doc_id, contains(' ' || array_to_string(regexp_extract_all({folding.letters('text')}, '([0-9a-z]+|&)'), ' ') || ' ', ' net contents line ') AS has_run FROM documents")
 def word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"\A[\x00-\x7F]+\z"))
-    return d.select("doc_id", X.has_run(X.norm_words(F.col("text")), F.array(F.lit("net"), F.lit("contents"), F.lit("line"))).alias("has_run"))
-
-
-@query()
-def word_runs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words of every document, accents, widths and look-alikes folded; ``word_runs`` is the part of it that DuckDB folds alike. A null text has a null."""
+    """A run of words in every document, accents, widths and look-alikes folded. A null text has a null."""
     d = read_table(spark, sf_dir, "documents")
     return d.select("doc_id", X.has_run(X.norm_words(F.col("text")), F.array(F.lit("net"), F.lit("contents"), F.lit("line"))).alias("has_run"))
 

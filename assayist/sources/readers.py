@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,19 @@ class PackError(ValueError):
     """Everything that is wrong with a rule pack, together."""
 
 
+#: Steps that an asset goes through before it is hashed, by name.
+ASSET_STEPS = {"nfkc": lambda t: unicodedata.normalize("NFKC", t), "join_hyphens": lambda t: re.sub(r"-\s*\n\s*", "", t), "collapse_ws": lambda t: " ".join(t.split()), "drop_ws": lambda t: "".join(t.split()), "casefold": str.casefold, "trim": str.strip}
+
+
+def canonical_asset(text: str, steps: list[str] | None = None) -> str:
+    """An asset's text after the steps, in order; trimmed without any given, as it stands for an empty list. An unknown step is refused."""
+    for step in ["trim"] if steps is None else steps:
+        if step not in ASSET_STEPS:
+            raise PackError(f"unknown step {step}")
+        text = ASSET_STEPS[step](text)
+    return text
+
+
 def rule_pack(spark: SparkSession, folder: str, validators: set[str]) -> dict[str, DataFrame]:
     """Rules, reason codes and tables of a folder of YAML files; raises one :class:`PackError` with all faults.
 
@@ -35,6 +49,10 @@ def rule_pack(spark: SparkSession, folder: str, validators: set[str]) -> dict[st
 
     root, faults, rules, tables = Path(folder), [], [], {}
     codes = yaml.safe_load((root / "reason_codes.yaml").read_text()) if (root / "reason_codes.yaml").exists() else []
+    if isinstance(codes, dict):  # {version, codes: {code: {...}}}
+        if not re.fullmatch(r"\d+\.\d+\.\d+", str(codes.get("version", ""))):
+            faults.append(f"reason codes: bad version {codes.get('version')}")
+        codes = [{"code": k, **(v or {})} for k, v in (codes.get("codes") or {}).items()]
     for p in sorted(root.rglob("*.yaml")):
         if p.name == "reason_codes.yaml":
             continue
@@ -65,7 +83,7 @@ def rule_pack(spark: SparkSession, folder: str, validators: set[str]) -> dict[st
         if a := r.get("asset"):
             if not (root / a).exists():
                 faults.append(f"{name}: no asset {a}")
-            elif hashlib.sha256((root / a).read_text().strip().encode()).hexdigest() != r.get("sha256"):
+            elif hashlib.sha256(canonical_asset((root / a).read_text(), r.get("canonical")).encode()).hexdigest() != r.get("sha256"):
                 faults.append(f"{name}: asset {a} has another hash")
     if faults:
         raise PackError("\n".join(faults))
@@ -113,6 +131,13 @@ def batch_items(batches: DataFrame, cap: int = 100) -> tuple[DataFrame, DataFram
     return good.select("batch_id", "agent_id", "submitted_at", F.posexplode("items").alias("position", "i")).select("batch_id", "agent_id", "submitted_at", "position", "i.*"), batches.filter((size == 0) | (size > cap))
 
 
+def admitted(files: DataFrame, most_bytes: int = 1_572_864, most_pixels: int = 50_000_000, most_files: int = 100, most_request: int = 33_030_144) -> DataFrame:
+    """Files of requests (request, name, length, width, height) with why each is refused (null if it isn't): too large, too many pixels, or a request of too many files or bytes."""
+    sums = files.groupBy("request").agg(F.count("*").alias("_n"), F.sum("length").alias("_all"))
+    why = F.when(F.col("_n") > most_files, "too many files").when(F.col("_all") > most_request, "request too large").when(F.col("length") > most_bytes, "too large").when(F.col("width").cast("bigint") * F.col("height") > most_pixels, "too many pixels")
+    return files.join(sums, "request").select(*files.columns, why.alias("refused"))
+
+
 def images(spark: SparkSession, path: str, most_bytes: int = 1_572_864) -> DataFrame:
     """Image files by their first bytes: path, kind, refused (why, else null); the content is kept."""
     df = spark.read.format("binaryFile").load(path)

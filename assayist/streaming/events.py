@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -50,6 +50,49 @@ def ended(events: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
     return seen.join(sizes, key).filter(F.col("total") >= F.col("expected")).select(key, "total", "failed")
 
 
+def consumed(items: DataFrame, records: DataFrame, ref: str) -> DataFrame:
+    """Results of queued items (batch_id, position, ``ref``), one each: an item whose record is missing is a refusal, never the end of its batch.
+
+    A stateless join to static ``records`` (``ref``, ...): items of a trigger come out with it, whatever fails.
+    """
+    known = records.select(F.col(ref).alias("_ref")).distinct().withColumn("_here", F.lit(True))
+    here = items.join(known, F.col(ref) == F.col("_ref"), "left")
+    missing = F.col("_here").isNull()
+    return here.select("batch_id", "position", ref, F.when(missing, "refusal").otherwise("label-result").alias("event"), F.when(missing, "INPUT.RECORD.MISSING").alias("code"))
+
+
+def intake(spark: SparkSession, path: str, schema, files_at_once: int = 4) -> DataFrame:
+    """A stream of Parquet files, of which a trigger takes ``files_at_once``: the rest waits, so a slow consumer holds the intake back."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
+
+
+def counted(events: DataFrame, key: str) -> DataFrame:
+    """Totals so far of each batch: total, failed. A stream in complete mode."""
+    return events.groupBy(key).agg(F.count("*").alias("total"), F.count_if(F.col("event") == "refusal").alias("failed"))
+
+
+def last_of(events: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """The last value of each key so far; a stream in complete mode. Corrections that come while a batch runs are folded like this."""
+    return events.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(value))
+
+
+def snapshot(df: DataFrame, path: str, wait: int | None = None) -> DataFrame:
+    """What a stream's totals are when all that is there has been taken in, or after ``wait`` seconds: the last complete table under ``path``."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/at-{number:09d}")
+
+    q = df.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    if not q.awaitTermination(wait) if wait else q.awaitTermination():
+        q.stop()
+    spark = df.sparkSession
+    done = spark.read.schema(df.schema).parquet(f"{path}/at-*")
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"/at-(\d+)/", 1)
+    rows = done.select("*", number.alias("_at"))
+    last = rows.agg(F.max("_at")).first()[0]
+    return rows.filter(F.col("_at") == last).drop("_at")
+
+
 def run_to_end(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """Run a stream over what is there into a memory table and give the table (smoke tests, replays)."""
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
