@@ -124,6 +124,7 @@ _ONCE = "SELECT any_value(model_version) AS model_version, any_value(started_at)
 _LONG = f"SELECT model_version, strftime(date_trunc('week', started_at AT TIME ZONE 'UTC'), '%Y-%m-%d') AS week_start, cache_hit::BIGINT AS cache_hit, metric_name, value FROM (UNPIVOT ({_ONCE}) ON total_duration_ms, vision_duration_ms INTO NAME metric_name VALUE value) WHERE value > 0 AND model_version IS NOT NULL AND cache_hit IS NOT NULL"
 ORACLE = {
     "p1_found": sql.p1_found(),
+    "p1_forms": sql.p1_forms(),
     "p7_found": sql.p7_found(),
     "p3_found": f"SELECT model_version, week_start, cache_hit, metric_name, pct::BIGINT AS pct FROM (SELECT model_version, week_start, cache_hit, metric_name, count(*) AS n, count(*) FILTER (WHERE value <= 5000) AS le FROM ({_LONG}) GROUP BY ALL) CROSS JOIN (VALUES (50), (90)) AS p(pct) WHERE n >= 40 AND le < ceil(pct * n / 100.0)",
     "p3_within_bound": f"SELECT model_version, week_start, cache_hit, metric_name, pct::BIGINT AS pct, count(*) AS n, true AS within FROM ({_LONG}) CROSS JOIN (VALUES (50), (90), (99)) AS p(pct) GROUP BY ALL",

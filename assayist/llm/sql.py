@@ -1,33 +1,21 @@
-"""SQL of the text queries: the same mapping as the transducer's, written out for DuckDB."""
+"""SQL of the text queries, on lists of its own for what a reader sees (:mod:`assayist.plans.folding`)."""
 
 from __future__ import annotations
 
-from assayist.llm.transducer import visible_form
+from assayist.plans.folding import seen
 
 
-def _quoted(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-def visible_sql(column: str) -> str:
-    """An expression for the visible form of a column."""
-    f = visible_form()
-    single = {k: v for k, v in f.mapping.items() if len(k) == 1 and len(v) == 1}
-    more = {k: v for k, v in f.mapping.items() if len(k) > 1 or len(v) != 1}
-    out = f"regexp_replace({column}, {_quoted('[' + ''.join(sorted(f.nothing)) + ']')}, '', 'g')"
-    for k, v in sorted(more.items(), key=lambda kv: -len(kv[0])):
-        if "\0" not in k:
-            out = f"replace({out}, {_quoted(k)}, {_quoted(v)})"
-    return f"nfc_normalize(translate({out}, {_quoted(''.join(single))}, {_quoted(''.join(single.values()))}))"
+def p1_found() -> str:
+    a, b = seen("extracted_value"), seen("expected_value")
+    return f"SELECT finding_id FROM field_finding WHERE extracted_value <> expected_value AND extracted_value <> '' AND expected_value <> '' AND {a} = {b} AND {a} <> ''"
 
 
-def p1_found() -> str:
-    special = "regexp_matches({0}, '[^ -~]')"
-    a, b = visible_sql("extracted_value"), visible_sql("expected_value")
-    return f"SELECT finding_id FROM field_finding WHERE extracted_value <> expected_value AND extracted_value <> '' AND expected_value <> '' AND ({special.format('extracted_value')} OR {special.format('expected_value')}) AND {a} = {b} AND {a} <> ''"
+def p1_forms() -> str:
+    return f"SELECT finding_id, {seen('extracted_value')} AS extracted_form, {seen('expected_value')} AS expected_form FROM field_finding"
 
 
 def p7_found(words: int = 12) -> str:
-    text = lambda c: f"regexp_extract_all(lower({visible_sql(f'regexp_replace(replace({c}, {chr(39)}&nbsp;{chr(39)}, {chr(39)} {chr(39)}), {chr(39)}</?[A-Za-z][^<>]*>{chr(39)}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)})')}), '[\\p{{L}}\\p{{N}}]+')"
+    plain = lambda c: seen(f"regexp_replace(replace({c}, '&nbsp;', ' '), '</?[A-Za-z][^<>]*>', ' ', 'g')")
+    text = lambda c: f"regexp_extract_all(lower({plain(c)}), '[\\p{{L}}\\p{{N}}]+')"
     grams = lambda key, col, table: f"SELECT DISTINCT {key}, array_to_string(w[i:i + {words - 1}], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - {words - 2})) AS i FROM (SELECT {key}, {text(col)} AS w FROM {table}))"
     return f"SELECT DISTINCT d.doc_id, t.item_id FROM ({grams('doc_id', 'text', 'documents')}) d JOIN ({grams('item_id', 'item_text', 'eval_item')}) t USING (g)"

@@ -40,6 +40,24 @@ def check(mapping: dict[str, str]) -> None:
             raise Conflict(f"{k!r} does no more than its part {part!r}")
 
 
+def resolved(entries: list[tuple[str, str]]) -> dict[str, str]:
+    """A mapping of entries whose outputs are final: an output that is mapped itself is replaced by its own output.
+
+    Two entries of one key with different outputs, or outputs that lead back to their key, are conflicts.
+    """
+    given: dict[str, str] = {}
+    for k, v in entries:
+        if given.setdefault(k, v) != v:
+            raise Conflict(f"{k!r} becomes {given[k]!r} and {v!r}")
+
+    def final(k: str, path: tuple[str, ...]) -> str:
+        if k in path:
+            raise Conflict(f"{' becomes '.join(map(repr, (*path, k)))}")
+        return "".join(final(c, (*path, k)) if c in given and c != k else c for c in given[k])
+
+    return {k: final(k, ()) for k in given}
+
+
 class Transducer:
     """A mapping compiled to one scan. Clusters with marks are composed when first met and remembered."""
 
@@ -79,17 +97,13 @@ class Transducer:
 def visible_form() -> Transducer:
     """The transducer for what a reader sees: case, spelling, punctuation, accents and the number of blanks stay."""
     mapped, blanks, nothing = tables()
-    mapping = {**dict.fromkeys(blanks, " "), "\r\n": " "}
-    for ch, plain in mapped.items():
-        mapping[ch] = unicodedata.normalize("NFC", plain)
+    entries = [*((b, " ") for b in blanks), ("\r\n", " "), *((ch, unicodedata.normalize("NFC", plain)) for ch, plain in mapped.items())]
+    keys = {k for k, _ in entries}
     for o in range(0xC0, 0x2000):  # accented look-alikes: their letter is mapped, their accents stay
         d = unicodedata.normalize("NFD", ch := chr(o))
-        if ch not in mapping and len(d) > 1 and d[0] in mapped:
-            mapping[ch] = unicodedata.normalize("NFC", mapped[d[0]] + d[1:])
-    for k, v in mapping.items():  # an output that is mapped itself is replaced by its own output
-        while any(c in mapping for c in v):
-            v = "".join(mapping.get(c, c) for c in v)
-        mapping[k] = v
+        if ch not in keys and len(d) > 1 and d[0] in mapped:
+            entries.append((ch, unicodedata.normalize("NFC", mapped[d[0]] + d[1:])))
+    mapping = resolved(entries)
     marks = "".join(c for o in range(0x300, 0x20000) if unicodedata.category(c := chr(o)) in ("Mn", "Me") and c not in nothing)
     return Transducer({k: v for k, v in mapping.items() if k != v}, nothing, marks)
 

@@ -5,7 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from assayist.llm.transducer import Conflict, Transducer, visible, visible_form, visibly_same
+from assayist.llm.transducer import Conflict, Transducer, resolved, visible, visible_form, visibly_same
 
 
 @pytest.mark.parametrize(("a", "b"), [("Ｒｙｅ　３", "Rye 3"), ("Brûlé", "Brûlé"), ("Ne⁠utral", "Neutral"), ("а́", "á"), ("ﬂ oz", "fl oz"), ("a͏́", "á"), ("x y", "x y"), ("x\ty", "x y"), ("K", "K"), ("ё", "ё"), ("ậ", "ậ"), ("Å", "Å")])
@@ -38,3 +38,10 @@ def test_rows(spark):
     assert sorted(r.id for r in visibly_same(df.drop("_l"), "a", "b").collect()) == [1, 1, 6, 7]
     assert visibly_same(df, "a", "b").count() == 4 and visibly_same(df.limit(0), "a", "b").count() == 0
     assert df.select(visible(F.col("a")).alias("v")).filter("v is null").count() == 1
+
+
+def test_conflicts_of_entries_are_found_before_they_are_resolved():
+    assert resolved([("a", "b"), ("b", "c"), ("x", "ab"), ("a", "b")]) == {"a": "c", "b": "c", "x": "cc"}
+    for bad in ([("a", "b"), ("a", "c")], [("a", "b"), ("b", "a")], [("a", "b"), ("b", "xc"), ("c", "a")]):
+        with pytest.raises(Conflict):
+            resolved(bad)
