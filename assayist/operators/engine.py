@@ -13,16 +13,21 @@ def applicable(obs: DataFrame, rules: DataFrame, aliases: dict[str, list[str]] |
     """Enabled rules with the observations they apply to, each pair once.
 
     ``obs``: obs_id, field, class, ...; ``rules``: rule_id, classes array, evidence array, disabled. A rule without evidence
-    applies to every observation of its classes. Both sides are exploded to (class, name), so the join is on equality.
+    applies to every observation of its classes. ``obs_id`` is unique. The join is on the class; the names are looked up in
+    the row, so nothing is shuffled to drop repeats.
     """
     names = F.array(F.col("field"))
     for k, v in (aliases or {}).items():
         names = F.when(F.col("field") == k, F.array(*map(F.lit, [k, *v]))).otherwise(names)
     live = rules.filter(~F.coalesce(F.col("disabled"), F.lit(False)))
-    one = live.select("rule_id", F.explode("classes").alias("class"), F.explode_outer("evidence").alias("name"))
-    named = obs.withColumn("name", F.explode(names)).join(small(one.filter("name is not null")), ["class", "name"]).drop("name")
-    every = obs.join(small(one.filter("name is null").drop("name")), "class")
-    return named.unionByName(every.select(named.columns)).dropDuplicates(["rule_id", "obs_id"])
+    one = live.select("rule_id", F.explode("classes").alias("class"), F.explode_outer("evidence").alias("name")).distinct()
+    # the rules of a (class, name) are gathered, so that a pair met under several names is made once, within its row
+    sets = one.groupBy("class", "name").agg(F.collect_set("rule_id").alias("_r"))
+    all_ = sets.groupBy("class").agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("name", F.lit("")).alias("name"), "_r"))).alias("_by"))
+    of = lambda n: F.coalesce(F.try_element_at("_by", n), F.array().cast("array<string>"))
+    met = obs.join(small(all_), "class")
+    rules_of = F.array_distinct(F.flatten(F.transform(F.array_append(names, F.lit("")), of)))
+    return met.select(*obs.columns, F.explode(rules_of).alias("rule_id"))
 
 
 def expected_of(obs: DataFrame, expected: DataFrame, keys: list[str], aliases: DataFrame) -> DataFrame:

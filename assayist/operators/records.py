@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayist.functions.text import file_key, trade_names
+from assayist.functions.text import file_key, has_run, norm_words, trade_names
 
 _EXPECTED = "struct<field:string,value:string,amount:double,other_names:array<string>,required:boolean>"
 
@@ -117,3 +117,18 @@ def timing(gaps: DataFrame, key: str, gap: str) -> DataFrame:
     """n, median, mean, least and largest gap between the results of a batch; the first result has none."""
     g = F.col(gap)
     return gaps.groupBy(key).agg(F.count(g).alias("n"), F.median(g).alias("median"), F.round(F.mean(g), 6).alias("mean"), F.min(g).alias("least"), F.max(g).alias("largest"))
+
+
+def scores() -> dict[str, Column]:
+    """Checks of a reading against what is printed (brand, abv, ml, place and their ``_read`` columns): true, false, or null if nothing is printed to check against.
+
+    The brand is a run of the reading; figures are near; two neighbouring words of the place read stand in the place printed; where none is printed, reading none is right.
+    """
+    c, words = F.col, lambda x: norm_words(F.coalesce(F.col(x), F.lit("")))
+    read, printed = words("place_read"), words("place")
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(read) - 1, F.lit(1))), lambda i: F.slice(read, i, F.lit(2)))
+    near = lambda a, b, most: F.when(a.isNotNull(), F.coalesce(F.abs(a - b) <= most, F.lit(False)))
+    return {
+        "brand": F.when(F.size(words("brand")) > 0, has_run(words("brand_read"), words("brand"))), "abv": near(c("abv"), c("abv_read"), F.lit(0.05)), "net": near(c("ml"), c("ml_read"), F.greatest(F.lit(1.0), c("ml") * 0.01)),
+        "place": F.when(c("place").isNull(), F.size(read) == 0).otherwise(F.exists(pairs, lambda p: (F.size(p) == 2) & has_run(printed, p))),
+    }

@@ -107,14 +107,18 @@ def enumerated(i: Inputs) -> Column:
 
 @register("designation")
 def designation(i: Inputs) -> Column:
-    """Declared and read designations agree: a segment as a run, a shared class, a class within another."""
-    classes: list[str] = i.parameters["classes"]
+    """Declared and read designations agree: a segment as a run, a shared class, a class within another.
+
+    The classes that each holds come from ``parameters["classes"]``, or joined, in ``extra``: known, declared_known.
+    """
+    classes: list[str] = i.parameters.get("classes", [])
     within: list[tuple[str, str]] = i.parameters.get("within", [])
     read, declared = X.norm_words(i.reading), X.norm_words(i.expected)
     segments = F.transform(F.split(i.expected, r"[/()]"), lambda s: X.norm_words(s))
     run = F.exists(segments, lambda s: X.has_run(read, s))
     known = lambda w: F.filter(F.array(*map(F.lit, classes)), lambda c: F.size(F.array_except(F.split(c, " "), w)) == 0)
-    own, theirs = known(read), known(declared)
+    given = lambda k, w: F.coalesce(i.extra[k], F.array().cast("array<string>")) if k in i.extra else known(w)
+    own, theirs = given("known", read), given("declared_known", declared)
     inner = reduce(lambda a, b: a | b, [F.array_contains(own, a) & F.array_contains(theirs, b) for a, b in within], F.lit(False))
     class_words = F.array_distinct(F.flatten(F.transform(own, lambda c: F.split(c, " "))))
     both = (F.size(own) > 0) & (F.size(theirs) > 0)

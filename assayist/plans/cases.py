@@ -5,13 +5,19 @@ The SQL of a case is a list of VALUES: the expected rows, worked out by hand fro
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayist.functions import marks as M
 from assayist.functions import text as X
-from assayist.operators import cards, panels, records, validators
+from assayist.operators import cards, images, layout, panels, projections, records, validators
+from assayist.session import shared_dir
+from assayist.sources import readers, sinks
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -480,3 +486,157 @@ def best_frame(spark: SparkSession) -> DataFrame:
     """The rotated frame that reaches the warning's end, then the one of most words, then the least turned."""
     rows = [("a", 0, False, 90), ("a", 90, True, 20), ("a", 180, True, 10), ("b", 0, False, 5), ("b", 90, False, 5)]
     return panels.best_frames(spark.createDataFrame(rows, "face string, rotation bigint, reaches_end boolean, n_words int"), ["face"])
+
+
+@case("face text", ("a", "RIVER"), ("b", "first"))
+def largest_type(spark: SparkSession) -> DataFrame:
+    """The text in the largest type, the first one of two alike."""
+    df = spark.createDataFrame([("a", 0, 0.0, 10.0, "hop"), ("a", 1, 0.0, 30.0, "RIVER"), ("b", 0, 0.0, 10.0, "first"), ("b", 1, 5.0, 15.0, "second")], "face string, box int, y0 double, y1 double, text string")
+    return layout.largest_type(df, "face")
+
+
+@case("box line", (0, 0), (1, 1), (2, 0), (3, 2))
+def text_lines(spark: SparkSession) -> DataFrame:
+    """Boxes by line: one that overlaps the last box of a line by half its height joins it."""
+    rows = [("a", 0, 0.0, 0.0, 10.0, 10.0), ("a", 1, 1.0, 20.0, 10.0, 30.0), ("a", 2, 12.0, 2.0, 20.0, 12.0), ("a", 3, 12.0, 50.0, 20.0, 60.0)]
+    return _bigint(layout.lines(spark.createDataFrame(rows, "face string, box bigint, x0 double, y0 double, x1 double, y1 double"), "face"), "line")
+
+
+# --- scalar functions
+
+
+@case("id canonical skeleton", (0, "stone's throw", "stonesthrow"), (1, "acme", "acme"), (2, "a&w #7", "a&w#7"), (3, "no. 1.5", "no1.5"), (4, "", ""))
+def canonical_forms(spark: SparkSession) -> DataFrame:
+    """Trade marks off, straight quotes, no accents, single blanks; then without marks but those that stand for something."""
+    c = X.canonical(F.col("text"))
+    return _texts(spark, " Stone’s  THROW ", "ÄCMÉ™", "A&W #7", "No. 1.5", "®").select("id", c.alias("canonical"), X.skeleton(c).alias("skeleton"))
+
+
+@case("id article short", (0, "old mill distillery", "old mill"), (1, "the", ""), (2, "company", ""), (3, "brewing dog", ""))
+def shortened_names(spark: SparkSession) -> DataFrame:
+    """A leading article off; then the last words that a name may lose, unless none or all would go."""
+    w = X.without_article(X.norm_words(F.col("text")))
+    return _texts(spark, "The Old Mill Distillery", "The", "Company", "Brewing Dog").select("id", F.array_join(w, " ").alias("article"), F.array_join(X.shortened(w, _TRAILING), " ").alias("short"))
+
+
+@case("id one", (0, True), (1, True), (2, False), (3, True))
+def one_edit(spark: SparkSession) -> DataFrame:
+    df = spark.createDataFrame([(0, "mill", "mills"), (1, "étoile", "etoile"), (2, "mill", "lmil"), (3, "", "x")], "id bigint, a string, b string")
+    return df.select("id", X.within_one_edit(F.col("a"), F.col("b")).alias("one"))
+
+
+@case("id written", (0, "OLD—Mill"), (1, None), (2, "a b"))
+def written_forms(spark: SparkSession) -> DataFrame:
+    """The stretch of a text that spells given words, as it is written there."""
+    df = spark.createDataFrame([(0, "By the OLD—Mill, Co.", ["old", "mill"]), (1, "gold mill", ["old", "mill"]), (2, "x a b a b", ["a", "b"])], "id bigint, text string, words array<string>")
+    return df.select("id", projections.text_as_written(F.col("text"), F.col("words")).alias("written"))
+
+
+def _digest(*parts: str) -> str:
+    return hashlib.sha256(b"".join(len(p.encode()).to_bytes(8, "big") + p.encode() for p in parts)).hexdigest()
+
+
+@case("id digest", (0, _digest("ab", "c")), (1, _digest("a", "bc")), (2, _digest("é", "")))
+def framed_digests(spark: SparkSession) -> DataFrame:
+    """Digests of several values, each led by its length: no two splits coincide."""
+    df = spark.createDataFrame([(0, "ab", "c"), (1, "a", "bc"), (2, "é", None)], "id bigint, a string, b string")
+    return df.select("id", X.framed(F.col("a"), F.col("b")).alias("digest"))
+
+
+@case("id names", (0, "Blue Hen,Red Hen"), (1, ""), (2, "Blue Hen"))
+def names_used(spark: SparkSession) -> DataFrame:
+    """Trade names behind the last ZIP code, before each mark, each once."""
+    df = _texts(spark, "A Co, 1 Main St 10001 Albany NY 12345 Blue Hen (Used on label), Red Hen (used on label)", "A Co, Albany NY 12345", "A Co 12345-6789 Blue Hen (Used on label) Blue Hen (used on label)")
+    return df.select("id", F.array_join(X.trade_names(F.col("text")), ",").alias("names"))
+
+
+@case("version place", ("0.2.0", 1), ("0.10.0", 2), ("0.10.1-rc", 3))
+def version_order(spark: SparkSession) -> DataFrame:
+    """Versions by their numbers."""
+    df = spark.createDataFrame([("0.10.1-rc",), ("0.2.0",), ("0.10.0",)], "version string")
+    return df.select("version", F.array_position(F.array_sort(F.array(*(X.version_key(F.lit(v)) for v in ("0.10.1-rc", "0.2.0", "0.10.0")))), X.version_key(F.col("version"))).cast("bigint").alias("place"))
+
+
+@case("id shown", (0, "40% ALC. BY VOL."), (1, "40 %"), (2, "750 mL"), (3, "GOVERNMENT WARNING: drink less"), (4, "Government Warning: x"), (5, "Hop River"), (6, ""))
+def display_readings(spark: SparkSession) -> DataFrame:
+    rows = [(0, "alcohol", None, "40% ALC. BY VOL.", 40.0, "%", None), (1, "alcohol", None, " ", 40.0, "%", None), (2, "contents", None, None, 750.0, "mL", None), (3, "warning", "drink less", None, None, None, "GOVERNMENT WARNING:"), (4, "warning", "Government Warning: x", None, None, None, "GOVERNMENT WARNING:"), (5, "brand", "Hop River", None, None, None, None), (6, "brand", None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id bigint, field string, text string, printed string, amount double, unit string, heading string")
+    return df.select("id", projections.display_reading(*map(F.col, ("field", "text", "printed", "amount", "unit", "heading"))).alias("shown"))
+
+
+@case("id unreadable photo", (0, True, "BLUR"), (1, False, "DARK"), (2, False, None))
+def photo_faults(spark: SparkSession) -> DataFrame:
+    """Faces that only the quality gate spoke for, and the first code that asks for a better photograph: of the findings, else of the trace."""
+    df = spark.createDataFrame([(0, ["quality"], ["A", "BLUR"], ["DARK"]), (1, ["quality", "brand"], ["A"], ["X", "DARK"]), (2, [], [], [])], "id bigint, fields array<string>, findings array<string>, traced array<string>")
+    return df.select("id", projections.unreadable(F.col("fields")).alias("unreadable"), projections.photo_needed(F.col("findings"), F.col("traced"), ["BLUR", "DARK"]).alias("photo"))
+
+
+@case("id confidence", (0, 0.4), (1, 0.0), (2, 0.0))
+def evidence_confidence(spark: SparkSession) -> DataFrame:
+    """The least confidence of the evidence; 0 without any."""
+    df = spark.createDataFrame([(0, [0.9, 0.4]), (1, []), (2, None)], "id bigint, evidence array<double>")
+    return df.select("id", F.coalesce(F.array_min("evidence"), F.lit(0.0)).alias("confidence"))
+
+
+# --- images, files, packs
+
+
+@case("id fault", (0, "low_resolution"), (1, None), (2, None))
+def image_quality(spark: SparkSession) -> DataFrame:
+    """A flat image is without detail, one of noise is sharp, none has no verdict."""
+    flat, noisy = [[5.0] * 16] * 16, [[float((x * 37 + y * 91) % 255) for x in range(16)] for y in range(16)]
+    df = spark.createDataFrame([(0, flat), (1, noisy), (2, None)], "id bigint, grey array<array<double>>").select("id", images.measure("grey").alias("m"))
+    return df.select("id", images.quality(F.col("m")).alias("fault"))
+
+
+@case("id kind dpi", (0, "png", 300.0), (1, "jpeg", 254.0), (2, None, 72.0))
+def image_facts(spark: SparkSession) -> DataFrame:
+    """Kinds by the first bytes; dots an inch from the file, else EXIF (by centimetre, too), else as declared."""
+    df = spark.createDataFrame([(0, "89504E470D0A1A0A00", 300.0, None, None, 72.0), (1, "FFD8FFE0", None, 100.0, "cm", 72.0), (2, "474946", None, None, None, 72.0)], "id bigint, head string, stated double, exif double, unit string, declared double")
+    return df.select("id", images.image_kind(F.unhex("head")).alias("kind"), images.resolution(F.col("stated"), F.col("exif"), F.col("unit"), F.col("declared")).alias("dpi"))
+
+
+@case("name refused", ("ok.png", None), ("big.png", "too large"), ("wide.png", "too many pixels"), ("a.png", "too many files"), ("b.png", "too many files"))
+def admitted_files(spark: SparkSession) -> DataFrame:
+    rows = [("r1", "ok.png", 1000, 100, 100), ("r1", "big.png", 2_000_000, 100, 100), ("r1", "wide.png", 1000, 100_000, 100_000), ("r2", "a.png", 1, 1, 1), ("r2", "b.png", 1, 1, 1)]
+    df = spark.createDataFrame(rows, "request string, name string, length bigint, width int, height int")
+    return readers.admitted(df.filter("request = 'r1'")).unionByName(readers.admitted(df.filter("request = 'r2'"), most_files=1))
+
+
+_PIN = hashlib.sha256(b"keep away").hexdigest()
+
+
+@case("fault", ("reason code a.b: bad form",), ("w: r1: twice",), ("w: r1: unknown validator none",), ("w: r1: unknown reason code X.Y",), ("w: r2: no table units",), ("w: r2: unknown severity odd",), ("w: r2: floor outside [0, 1]",), ("w: r2: asset gone.txt has another hash",), ("w: ?: no rule_id",), ("w: ?: no classes",), ("w: ?: no asset none.txt",))
+def pack_faults(spark: SparkSession) -> DataFrame:
+    """All faults of a rule pack together: an asset is hashed after the steps that it states."""
+    ok = {"_file": "w", "validator": "presence", "classes": ["wine"], "severity": "warn"}
+    rules = [ok | {"rule_id": "r1", "asset": "text.txt", "sha256": _PIN, "canonical": ["collapse_ws", "casefold"]}, ok | {"rule_id": "r1", "validator": "none", "reason_code": "X.Y"}, ok | {"rule_id": "r2", "severity": "odd", "floor": 2, "table_ref": "units", "asset": "gone.txt", "sha256": _PIN}, {k: v for k, v in ok.items() if k != "classes"} | {"asset": "none.txt"}]
+    texts = {"text.txt": "Keep\n AWAY ", "gone.txt": "Keep AWAY"}
+    faults = readers.faults_of(rules, [{"code": "A.B"}, {"code": "a.b"}], {}, {"presence"}, texts.get)
+    return spark.createDataFrame([(f,) for f in faults], "fault string")
+
+
+@case("image box x0 text score", ("a.png", 0, 1.24, "HOP", 0.9877), ("a.png", 1, 3.0, "RIVER", 1.0), ("b.png", 0, 0.0, "ale", 0.5))
+def frozen_readings(spark: SparkSession) -> DataFrame:
+    """Readings frozen as JSON and read back: rounded, one row a box."""
+    rows = [("a.png", [10, 10], 0, [([1.239, 2.0, 3.0, 4.0], "HOP", 0.98767), ([3.0, 2.0, 5.0, 4.0], "RIVER", 1.0)]), ("b.png", [10, 10], 90, [([0.0, 0.0, 1.0, 1.0], "ale", 0.5)])]
+    df = spark.createDataFrame(rows, f"image string, frame_size array<int>, rotation_deg int, boxes array<{readers.BOX}>")
+    sinks.freeze_readings(df, path := f"{shared_dir(spark).rstrip('/')}/readings-{uuid.uuid4().hex}")
+    return _bigint(readers.readings(spark, path, lines=True), "box")
+
+
+@case("id face image rank", ("c1", "front", "f.png", 0), ("c1", "back", "b.png", 1))
+def manifest_cases(spark: SparkSession) -> DataFrame:
+    """Images of the real entries of a manifest, in the order of the faces."""
+    entries = [{"id": "c1", "kind": "real", "beverage_type": "wine", "images": {"back": "b.png", "front": "f.png"}}, {"id": "c2", "kind": "made", "images": {"front": "x.png"}}]
+    path = f"{shared_dir(spark).rstrip('/')}/manifest-{uuid.uuid4().hex}"
+    spark.createDataFrame([(json.dumps(entries),)], "value string").coalesce(1).write.text(path)
+    return _bigint(readers.manifest(spark, path), "rank")
+
+
+@case("id brand abv net place", (0, True, True, True, True), (1, False, False, False, False), (2, None, None, None, True), (3, True, None, True, False))
+def reading_scores(spark: SparkSession) -> DataFrame:
+    """Whether a reader got what a label prints; null where the label gives nothing to score against, which leaves the denominator."""
+    rows = [(0, "Hop River", "the HOP RIVER ale", 5.0, 5.04, 750.0, 752.0, "Bottled by Hop River, Stamford", "Hop River, Stamford"), (1, "Hop River", "lone rider", 5.0, 5.1, 750.0, None, "Bottled by Hop River", "Hop Stamford River"), (2, None, "x", None, 5.0, None, 1.0, None, ""), (3, "Hop", "hop", None, None, 1.0, 2.0, None, "Hop River")]
+    df = spark.createDataFrame(rows, "id bigint, brand string, brand_read string, abv double, abv_read double, ml double, ml_read double, place string, place_read string")
+    return df.select("id", *(v.alias(k) for k, v in records.scores().items()))

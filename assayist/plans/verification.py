@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayist.functions import text as X
-from assayist.plans import folding
 from assayist.operators import engine, layout, projections, validators, verdict, windows
-from assayist.session import read_table, shared_dir
+from assayist.plans import folding
+from assayist.session import read_table, shared_dir, small
 from assayist.sources.readers import batch_items
 from assayist.sources.sinks import blanked
 from assayist.streaming import events as stream
@@ -140,7 +140,27 @@ def jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("finding_id", F.when((F.col("a") == "") | (F.col("b") == ""), 0.0).otherwise(F.round(X.jaro_winkler("a", "b"), 6)).alias("similarity"))
 
 
-@query()
+def _canon(c: str) -> str:
+    quotes = "'" + "''" * 3 + '""' + "'"
+    return f"trim(regexp_replace({folding.letters(f"translate(regexp_replace({c}, '[®™©]', '', 'g'), '‘’ʼ“”', {quotes})")}, '\\s+', ' ', 'g'))"
+
+
+def _words(c: str) -> str:
+    """Words of a column as a list, '&' as "and", one spelling of whiskey."""
+    return f"list_transform(regexp_extract_all({folding.letters(c)}, '([0-9a-z]+|&)'), lambda w: CASE WHEN w = '&' THEN 'and' WHEN w IN ('whisky', 'whiskies') THEN 'whiskey' ELSE w END)"
+
+
+def _unled(w: str) -> str:
+    return f"CASE WHEN len({w}) > 1 AND {w}[1] = 'the' THEN {w}[2:] ELSE {w} END"
+
+
+_RUN = "len({1}) > 0 AND contains(' ' || array_to_string({0}, ' ') || ' ', ' ' || array_to_string({1}, ' ') || ' ')"
+_BARE = "regexp_replace({0}, '\\s|[!\"''()*+,\\-./:;<=>?\\[\\\\\\]\\^_`{{|}}~$]', '', 'g')"
+
+
+@query(f"""SELECT finding_id, o[1] AS outcome, o[2] AS code FROM (SELECT finding_id, CASE WHEN coalesce(trim(expected_value), '') = '' THEN ['NOT_APPLICABLE', NULL] WHEN a = b OR ({_RUN.format('v', 'w')}) OR ({_RUN.format('w', 'v')}) OR (sa = sb AND regexp_matches(sa, '[a-z0-9]')) OR jw >= 0.92 THEN ['PASS', NULL]
+  WHEN trim(coalesce(extracted_value, '')) = '' AND NOT true THEN ['INSUFFICIENT', 'READ.MISSING'] WHEN jw >= 0.85 OR (len(a) > 1 AND len(b) > 1 AND a[1] <> b[1] AND jaro_winkler_similarity(a[2:], b[2:]) >= 0.85) THEN ['INSUFFICIENT', 'BRAND.NEAR'] ELSE ['INSUFFICIENT', 'BRAND.UNCERTAIN'] END AS o
+  FROM (SELECT *, CASE WHEN a <> '' AND b <> '' THEN jaro_winkler_similarity(a, b) ELSE 0 END AS jw, {_BARE.format('a')} AS sa, {_BARE.format('b')} AS sb, {_unled('va')} AS v, {_unled('vb')} AS w FROM (SELECT finding_id, extracted_value, expected_value, {_canon('extracted_value')} AS a, {_canon('expected_value')} AS b, {_words('extracted_value')} AS va, {_words('expected_value')} AS vb FROM field_finding WHERE field_name = 'brand_name')))""")
 def brand_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole brand cascade over both values of every brand finding; each distinct pair is compared once."""
     f = read_table(spark, sf_dir, "field_finding").filter("field_name = 'brand_name'").select("finding_id", "extracted_value", "expected_value")
@@ -150,13 +170,30 @@ def brand_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.join(rated, F.col(pair[0]).eqNullSafe(F.col("a")) & F.col(pair[1]).eqNullSafe(F.col("b"))).select("finding_id", "v.outcome", "v.code")
 
 
-@query()
+_KNOWN = "list_filter(k, lambda c: list_has_all({0}, string_split(c, ' ')))"
+
+
+@query(f"""SELECT finding_id, o[1] AS outcome, o[2] AS code FROM (SELECT finding_id, CASE WHEN trim(coalesce(extracted_value, '')) = '' THEN ['FAIL', 'CLASS.ABSENT'] WHEN trim(coalesce(expected_value, '')) = '' THEN ['NOT_APPLICABLE', NULL]
+  WHEN len(list_filter(s, lambda x: {_RUN.format('r', 'x')})) > 0 OR list_has_any(own, theirs) THEN ['PASS', NULL] WHEN len(own) > 0 AND len(theirs) > 0 AND list_has_all(list_distinct(flatten(list_transform(own, lambda c: string_split(c, ' ')))), r) THEN ['FAIL', 'CLASS.DIFFERS'] ELSE ['INSUFFICIENT', 'CLASS.UNCERTAIN'] END AS o
+  FROM (SELECT *, {_KNOWN.format('r')} AS own, {_KNOWN.format('d')} AS theirs FROM (SELECT finding_id, extracted_value, expected_value, {_words('extracted_value')} AS r, {_words('expected_value')} AS d, list_transform(regexp_split_to_array(expected_value, '[/()]'), lambda x: {_words('x')}) AS s FROM field_finding WHERE field_name = 'class_type'), (SELECT list(DISTINCT regexp_replace(trim(lower(canonical_name)), '\\s+', ' ', 'g')) AS k FROM canonical_entry WHERE field_name = 'class_type')))""")
 def designation_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Declared and read designations of every class finding, against the canonical classes."""
-    classes = [" ".join(r[0].lower().split()) for r in read_table(spark, sf_dir, "canonical_entry").filter("field_name = 'class_type'").select("canonical_name").collect()]
-    f = read_table(spark, sf_dir, "field_finding").filter("field_name = 'class_type'")
-    v = validators.run("designation", validators.Inputs(F.col("extracted_value"), F.col("expected_value"), parameters={"classes": classes}))
-    return f.select("finding_id", v.alias("v")).select("finding_id", "v.outcome", "v.code")
+    """Declared and read designations of every class finding, against the canonical classes.
+
+    The classes meet the distinct values by their first word, an equality join, so a value sees only classes that begin with
+    one of its words.
+    """
+    f = read_table(spark, sf_dir, "field_finding").filter("field_name = 'class_type'").select("finding_id", "extracted_value", "expected_value")
+    names = read_table(spark, sf_dir, "canonical_entry").filter("field_name = 'class_type' and canonical_name is not null")
+    classes = small(names.select(F.regexp_replace(F.lower(F.trim("canonical_name")), r"\s+", " ").alias("class")).distinct().select("class", F.get(F.split("class", " "), F.lit(0)).alias("word")))
+    values = f.select(F.explode(F.array("extracted_value", "expected_value")).alias("value")).filter("value is not null").distinct()
+    words = values.select("value", F.array_distinct(X.norm_words(F.col("value"))).alias("words"))
+    met = words.select("value", "words", F.explode("words").alias("word")).join(classes, "word").filter(F.size(F.array_except(F.split("class", " "), "words")) == 0)
+    known = met.groupBy("value").agg(F.collect_set("class").alias("known"))
+    rows = f
+    for side in ("extracted", "expected"):
+        rows = rows.join(known.select(F.col("value").alias(f"{side}_value"), F.col("known").alias(f"{side}_known")), f"{side}_value", "left")
+    v = validators.run("designation", validators.Inputs(F.col("extracted_value"), F.col("expected_value"), extra={"known": F.col("extracted_known"), "declared_known": F.col("expected_known")}))
+    return rows.select("finding_id", v.alias("v")).select("finding_id", "v.outcome", "v.code")
 
 
 @query("SELECT delivery_id, CASE WHEN confidence_numeric < 0.5 THEN 'low' WHEN confidence_numeric < 0.85 THEN 'medium' WHEN confidence_numeric <= 1 THEN 'high' END AS band FROM batch_message")
@@ -236,10 +273,10 @@ def stream_advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT evaluation_id, count(*) AS n FROM (SELECT DISTINCT evaluation_id FROM batch_message WHERE evaluation_id IS NOT NULL) GROUP BY 1")
 def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each identifier of a stream of deliveries once."""
+    """Each identifier of a stream of deliveries once; what is older than sixty days is let go, so the state is bounded. Rows without a time count as of the first day."""
     schema = read_table(spark, sf_dir, "batch_message").schema
-    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/batch_message.parque[t]").filter("evaluation_id is not null").select("evaluation_id", "delivered_at")
-    return _streamed(stream.once(rows, ["evaluation_id"], "delivered_at"), "once", "append").groupBy("evaluation_id").agg(F.count("*").alias("n"))
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/batch_message.parque[t]").filter("evaluation_id is not null").select("evaluation_id", F.coalesce("delivered_at", F.timestamp_seconds(F.lit(0))).alias("delivered_at"))
+    return _streamed(stream.once(rows, ["evaluation_id"], "delivered_at", "60 days"), "once", "append").groupBy("evaluation_id").agg(F.count("*").alias("n"))
 
 
 def _streamed(df: DataFrame, name: str, mode: str) -> DataFrame:

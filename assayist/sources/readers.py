@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,22 @@ def canonical_asset(text: str, steps: list[str] | None = None) -> str:
     return text
 
 
+def faults_of(rules: list[dict], codes: list[dict], tables: dict, validators: set[str], asset: Callable[[str], str | None]) -> list[str]:
+    """All faults of loaded rules: what is missing, stands twice, is unknown, out of its range, or has another hash than it states."""
+    known, seen, faults = {c["code"] for c in codes}, set(), [f"reason code {c['code']}: bad form" for c in codes if not re.fullmatch(r"[A-Z]+(\.[A-Z_]+)+", c["code"])]
+    for r in rules:
+        name = f"{r['_file']}: {r.get('rule_id', '?')}"
+        text = asset(r["asset"]) if r.get("asset") else None
+        checks = [
+            *((not r.get(k), f"no {k}") for k in ("rule_id", "validator", "classes", "severity")), (r.get("rule_id") in seen, "twice"), (r.get("validator") not in validators, f"unknown validator {r.get('validator')}"), (bool(r.get("reason_code")) and r["reason_code"] not in known, f"unknown reason code {r.get('reason_code')}"),
+            (bool(r.get("table_ref")) and r["table_ref"] not in tables, f"no table {r.get('table_ref')}"), (r.get("severity") not in ("reject", "warn", None), f"unknown severity {r.get('severity')}"), (not 0 <= float(r.get("floor", 0.5)) <= 1, "floor outside [0, 1]"), (bool(r.get("asset")) and text is None, f"no asset {r.get('asset')}"),
+            (text is not None and hashlib.sha256(canonical_asset(text or "", r.get("canonical")).encode()).hexdigest() != r.get("sha256"), f"asset {r.get('asset')} has another hash"),
+        ]
+        seen.add(r.get("rule_id"))
+        faults += [f"{name}: {what}" for bad, what in checks if bad]
+    return faults
+
+
 def rule_pack(spark: SparkSession, folder: str, validators: set[str]) -> dict[str, DataFrame]:
     """Rules, reason codes and tables of a folder of YAML files; raises one :class:`PackError` with all faults.
 
@@ -60,31 +77,7 @@ def rule_pack(spark: SparkSession, folder: str, validators: set[str]) -> dict[st
             tables[p.stem] = yaml.safe_load(p.read_text())
             continue
         rules += [r | {"_file": p.name} for r in yaml.safe_load(p.read_text()) or []]
-    known, seen = {c["code"] for c in codes}, set()
-    faults += [f"reason code {c['code']}: bad form" for c in codes if not re.fullmatch(r"[A-Z]+(\.[A-Z_]+)+", c["code"])]
-    for r in rules:
-        name = f"{r['_file']}: {r.get('rule_id', '?')}"
-        for k in ("rule_id", "validator", "classes", "severity"):
-            if not r.get(k):
-                faults.append(f"{name}: no {k}")
-        if r.get("rule_id") in seen:
-            faults.append(f"{name}: twice")
-        seen.add(r.get("rule_id"))
-        if r.get("validator") not in validators:
-            faults.append(f"{name}: unknown validator {r.get('validator')}")
-        if r.get("reason_code") and r["reason_code"] not in known:
-            faults.append(f"{name}: unknown reason code {r['reason_code']}")
-        if r.get("table_ref") and r["table_ref"] not in tables:
-            faults.append(f"{name}: no table {r['table_ref']}")
-        if r.get("severity") not in ("reject", "warn", None):
-            faults.append(f"{name}: unknown severity {r['severity']}")
-        if not 0 <= float(r.get("floor", 0.5)) <= 1:
-            faults.append(f"{name}: floor outside [0, 1]")
-        if a := r.get("asset"):
-            if not (root / a).exists():
-                faults.append(f"{name}: no asset {a}")
-            elif hashlib.sha256(canonical_asset((root / a).read_text(), r.get("canonical")).encode()).hexdigest() != r.get("sha256"):
-                faults.append(f"{name}: asset {a} has another hash")
+    faults += faults_of(rules, codes, tables, validators, lambda a: (root / a).read_text() if (root / a).exists() else None)
     if faults:
         raise PackError("\n".join(faults))
     rows = [(r["rule_id"], r["validator"], r["classes"], r.get("evidence"), r["severity"], float(r.get("floor", 0.5)), r.get("reason_code"), r.get("table_ref"), r.get("asset"), r.get("sha256"), bool(r.get("disabled")), r.get("effective_date"), json.dumps(r.get("parameters", {}), sort_keys=True)) for r in sorted(rules, key=lambda r: r["rule_id"])]
@@ -108,9 +101,9 @@ def applications(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return df.filter("filename is not null").join(twice, "file_key", "left_anti"), bad
 
 
-def readings(spark: SparkSession, path: str, version: int = 2) -> DataFrame:
-    """Boxes of frozen readings (JSON, one a file): image, box number and position, text, score. Another version is refused."""
-    df = spark.read.schema(READING).option("multiLine", True).json(path)
+def readings(spark: SparkSession, path: str, version: int = 2, lines: bool = False) -> DataFrame:
+    """Boxes of frozen readings (JSON, one a file, or one a line): image, box number and position, text, score. Another version is refused."""
+    df = spark.read.schema(READING).option("multiLine", not lines).json(path)
     ok = F.when(F.col("schema_version") == version, F.col("image")).otherwise(F.raise_error(F.concat(F.lit("unknown version of a reading: "), F.coalesce(F.col("schema_version").cast("string"), F.lit("none")))))
     boxes = df.select(ok.alias("image"), "rotation_deg", "heading_measurement", F.posexplode("boxes").alias("box", "b"))
     return boxes.select("image", "rotation_deg", "heading_measurement", "box", *(F.get("b.box", F.lit(i)).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))), "b.text", "b.score")
