@@ -58,10 +58,10 @@ def form_of_entry(entries: DataFrame) -> DataFrame:
     return r.select("id", *(text(c).alias(c) for c in plain), F.when(text("source") == "imported", text("origin")).otherwise("").alias("origin"))
 
 
-REGISTRY = "ttbid string, beverage_type string, source string, brand string, fanciful_name string, class_type_description string, applicant_name_address array<string>, images array<struct<type:string,file:string>>"
+REGISTRY = "record_id string, beverage_type string, source string, brand string, fanciful_name string, class_type_description string, applicant_name_address array<string>, images array<struct<type:string,file:string>>"
 
 
-def registry_cases(records: DataFrame, kind: str = "spirits", source: str = "domestic") -> DataFrame:
+def registry_cases(records: DataFrame, kind: str = "spirits", source: str = "domestic", id_col: str = "record_id") -> DataFrame:
     """Cases of registry records (REGISTRY): front is the first image whose type begins with Brand, back with Back; other images are left out.
 
     Records of another kind or source are refused: they have a ``fault`` and no fields.
@@ -69,7 +69,7 @@ def registry_cases(records: DataFrame, kind: str = "spirits", source: str = "dom
     ok = F.coalesce((F.col("beverage_type") == kind) & (F.col("source") == source), F.lit(False))
     image = lambda prefix: F.get(F.filter("images", lambda i: i.type.startswith(prefix)), F.lit(0)).file
     fields = {"brand_name": F.col("brand"), "fanciful_name": F.col("fanciful_name"), "class_type": F.col("class_type_description"), "name_address": F.nullif(F.array_join("applicant_name_address", " "), F.lit("")), "front": image("Brand"), "back": image("Back")}
-    return records.select(F.col("ttbid").alias("id"), *(F.when(ok, v).alias(k) for k, v in fields.items()), F.when(~ok, F.concat_ws(" ", F.lit("not mapped:"), "source", "beverage_type")).alias("fault"))
+    return records.select(F.col(id_col).alias("id"), *(F.when(ok, v).alias(k) for k, v in fields.items()), F.when(~ok, F.concat_ws(" ", F.lit("not mapped:"), "source", "beverage_type")).alias("fault"))
 
 
 def with_applications(labels: DataFrame, applications: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assayist.operators.delivery import deliver_once, repeated_deliveries
 from assayist.operators.quantities import equal_amounts, finding_readings, solve_identity
+from assayist.plans import amounts
 from assayist.session import read_table
 
 _FINDING = ["finding_id", "field_name", "extracted_value", "expected_value"]
@@ -49,6 +50,7 @@ QUERIES = {"p2_found": p2_found, "p2_common_units": p2_common_units, "p4_found":
 _KEY = "replace(regexp_replace(regexp_replace(lower(trim(evaluation_id)), '^urn:uuid:', ''), '[{}]', '', 'g'), '-', '')"
 _RANKED = f"SELECT *, {_KEY} AS k, row_number() OVER (PARTITION BY {_KEY} ORDER BY delivered_at NULLS LAST, delivery_id) AS rn FROM batch_message"
 ORACLE = {
+    "p2_found": amounts.p2_found(),
     "p4_found": f"SELECT delivery_id FROM ({_RANKED}) WHERE k <> '' AND rn > 1",
     "p4_delivered_once": f"SELECT delivery_id, evaluation_id, batch_id, queue_position, label_ref, disposition FROM ({_RANKED}) WHERE k IS NULL OR k = '' OR rn = 1",
 }

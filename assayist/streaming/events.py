@@ -82,6 +82,7 @@ def snapshot(df: DataFrame, path: str, wait: int | None = None) -> DataFrame:
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/at-{number:09d}")
 
+    df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{path}/at-none")
     q = df.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     if not q.awaitTermination(wait) if wait else q.awaitTermination():
         q.stop()
