@@ -88,7 +88,7 @@ class DeliveryIndex:
     """An index of the identifiers seen so far, kept as runs in ``root`` (a folder of the shared one unless given).
 
     ``prefix_bits`` fixes the number of hash prefixes; :meth:`sized` chooses it so that a prefix of ``expected``
-    identifiers holds about half a million. :meth:`open` takes up an index that another session has left.
+    identifiers holds about a million. :meth:`open` takes up an index that another session has left.
     """
 
     def __init__(self, spark: SparkSession, prefix_bits: int, root: str | None = None, merge_every: int = 4):
@@ -99,7 +99,7 @@ class DeliveryIndex:
 
     @classmethod
     def sized(cls, spark: SparkSession, expected: int, **more) -> DeliveryIndex:
-        return cls(spark, max(5, math.ceil(math.log2(max(1, expected / 500_000)))), **more)
+        return cls(spark, max(3, math.ceil(math.log2(max(1, expected / 1_000_000)))), **more)
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, merge_every: int = 4) -> DeliveryIndex:
@@ -126,7 +126,9 @@ class DeliveryIndex:
         """Put the list of runs beside the older ones; a reader takes the newest complete one."""
         self._seq += 1
         rows = [(self._seq, n, v, self.bits) for n, v in self.runs] or [(self._seq, None, None, self.bits)]
-        self.spark.createDataFrame(rows, _LIST).coalesce(1).write.json(f"{self.root}/lists/{self._seq:06d}")
+        names = [c.split()[0] for c in _LIST.split(", ")]
+        one = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(names, r, strict=True))) for r in rows))
+        self.spark.range(1, numPartitions=1).select(F.inline(one)).write.json(f"{self.root}/lists/{self._seq:06d}")
 
     def add(self, batch: DataFrame, key: str, order: list[str], delivery: str) -> None:
         """Take in a batch: of each identifier that is novel, the first row by ``order`` is kept (nulls last)."""
