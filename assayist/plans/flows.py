@@ -101,10 +101,7 @@ def stream_consumed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _consumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, _ = readers.batch_items(stream.intake(spark, f"{sf_dir}/batch_submission.parque[t]", read_table(spark, sf_dir, "batch_submission").schema))
     known = read_table(spark, sf_dir, "application").select(F.concat(F.lit("app-"), F.col("application_id").cast("string")).alias("application_ref"))
-    out = stream.consumed(items, known, "application_ref")
-    path = _folder(spark, "consumed")
-    out.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{path}/out")
+    return stream.run_to_end(stream.consumed(items, known, "application_ref"), _folder(spark, "consumed"))
 
 
 @query(f"SELECT q.batch_id, count(*) AS total, count(*) FILTER (WHERE a.application_id IS NULL) AS failed FROM ({_ITEMS}) q LEFT JOIN application a ON q.i.application_ref = 'app-' || a.application_id GROUP BY 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -268,7 +270,7 @@ def stream_advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = read_table(spark, sf_dir, "batch_message").schema
     rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/batch_message.parque[t]").filter("batch_id is not null")
     ev = rows.select("batch_id", F.col("delivery_id").alias("seq"), F.lit("label-result").alias("event"), F.col("disposition").alias("code"))
-    return _streamed(stream.advisories(ev, "batch_id"), "advisories", "append")
+    return _streamed(stream.advisories(ev, "batch_id"), "advisories")
 
 
 @query("SELECT evaluation_id, count(*) AS n FROM (SELECT DISTINCT evaluation_id FROM batch_message WHERE evaluation_id IS NOT NULL) GROUP BY 1")
@@ -276,17 +278,12 @@ def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each identifier of a stream of deliveries once; what is older than sixty days is let go, so the state is bounded. Rows without a time count as of the first day."""
     schema = read_table(spark, sf_dir, "batch_message").schema
     rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/batch_message.parque[t]").filter("evaluation_id is not null").select("evaluation_id", F.coalesce("delivered_at", F.timestamp_seconds(F.lit(0))).alias("delivered_at"))
-    return _streamed(stream.once(rows, ["evaluation_id"], "delivered_at", "60 days"), "once", "append").groupBy("evaluation_id").agg(F.count("*").alias("n"))
+    return _streamed(stream.once(rows, ["evaluation_id"], "delivered_at", "60 days"), "once").groupBy("evaluation_id").agg(F.count("*").alias("n"))
 
 
-def _streamed(df: DataFrame, name: str, mode: str) -> DataFrame:
+def _streamed(df: DataFrame, name: str) -> DataFrame:
     """Run a stream over what is there into a table in the shared folder."""
-    import uuid
-
-    base = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    q = df.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.read.schema(df.schema).parquet(f"{base}/out")
+    return stream.run_to_end(df, f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}")
 
 
 @query("SELECT batch_id, sum(ok)::BIGINT AS cursor FROM (SELECT batch_id, min(CASE WHEN disposition IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY batch_id ORDER BY delivery_id) AS ok FROM batch_message) GROUP BY 1")

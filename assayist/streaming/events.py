@@ -94,8 +94,8 @@ def snapshot(df: DataFrame, path: str, wait: int | None = None) -> DataFrame:
     return rows.filter(F.col("_at") == last).drop("_at")
 
 
-def run_to_end(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is there into a memory table and give the table (smoke tests, replays)."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_end(df: DataFrame, path: str) -> DataFrame:
+    """Run an appending stream over what is there into Parquet under ``path``, and read that."""
+    q = df.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/out")

@@ -87,7 +87,7 @@ def test_latched_advisories(spark, tmp_path):
     seq = [("e", "a")] * 4 + [("e", None)] + [("e", "a")] * 3 + [("dismiss", "b")] + [("e", "a")] + [("dismiss", "a")] + [("e", "a")] * 5
     pd.DataFrame([("k", i, e, c) for i, (e, c) in enumerate(seq)], columns=["k", "seq", "event", "code"]).to_parquet(tmp_path / "e.parquet")
     s = spark.readStream.schema("k string, seq bigint, event string, code string").parquet(str(tmp_path / "*.parquet"))
-    got = events.run_to_end(events.advisories(s, "k"), "adv", "append", str(tmp_path / "cp")).collect()
+    got = events.run_to_end(events.advisories(s, "k"), str(tmp_path / "adv")).collect()
     assert [(r.advisory_code, r.seq) for r in sorted(got, key=lambda r: r.seq)] == [("a", 5), ("a", 15)]
     e = spark.createDataFrame([("b1", "label-result"), ("b1", "refusal"), ("b2", "label-result")], "k string, event string")
     assert [(r.k, r.total, r.failed) for r in events.ended(e, spark.createDataFrame([("b1", 2), ("b2", 2)], "k string, expected int"), "k").collect()] == [("b1", 2, 1)]
