@@ -11,6 +11,7 @@ All values go this way, those with the key of a reference too.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,34 +19,74 @@ from pyspark.sql import functions as F
 from assayist.functions.characters import plain
 from assayist.session import BROADCAST_ROWS, small, spread, written
 
-#: Common trade abbreviations in classes. Those of names are learnt (:func:`abbreviations`).
+#: Learnt abbreviations that one expression writes out; more are joined, with the same keys.
+AT_ONCE = 50
+#: Common trade abbreviations in classes. Those of names are learnt (:func:`learnt`).
 TRADE = {"str": "straight", "liq": "liqueur", "flav": "flavored", "bl": "blended", "carb": "carbonated", "dist": "distilled", "bev": "beverage", "whsky": "whiskey", "whisky": "whiskey", "vdka": "vodka", "xing": "crossing", "spklg": "sparkling"}
 #: What is said around a name without being part of it.
 AROUND = [r"\([^)]*\)", r"batch\s*\d+", r"lot\s*[a-z0-9]\b", r"\b\d+\b", r"(?<=[a-z]{3})\d+\b", r"&\s*sons\b", r"\b(brewing|distilling)\s*company\b", r"(brewing|distilling)company$", r"\b(brewing|distilling)\s*co\b\.?", r"(brewing|distilling)co\.?$", r"\bco\b\.?", r"\bcompany\b", r"\b(cellars|brand)\b"]
 _LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789&"
 
 
-def key(col: Column, short: dict[str, str] | None = None) -> Column:
-    """The comparable key of a value: letters, digits and '&' only; empty if none are left. ``short``: abbreviations to write out."""
+def _opened(col: Column) -> Column:
+    """A value as it is read: plain letters, parts in natural order, without what is said around it."""
     the = lambda c: F.regexp_replace(c, r"^\s*(the\b[\s-]*)+", "")
     s = the(F.regexp_replace(F.lower(plain(col)), r"[-_]+", " "))
     s = the(F.regexp_replace(s, r"^([^,]+?)\s*,\s*(.+)$", "$2 $1"))
     s = F.regexp_replace(s, r"(?<=\d)(?=[a-z]{3})", " ")
-    s = F.regexp_replace(s, "|".join(AROUND), " ")
+    return F.regexp_replace(s, "|".join(AROUND), " ")
+
+
+def _closed(s: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9&]", ""), "^(the)+", ""), r"(&sons|(brewing|distilling)?co(mpany)?|cellars|brand)+$", "")
+
+
+def key(col: Column, short: dict[str, str] | None = None) -> Column:
+    """The comparable key of a value: letters, digits and '&' only; empty if none are left. ``short``: abbreviations to write out."""
+    s = _opened(col)
     for a, b in sorted((TRADE | (short or {})).items()):
         # with a point also inside a word, if it has letters enough; never the initial of several
         s = F.regexp_replace(s, rf"{a}\.(?!\w\.)" if len(a) > 2 else rf"\b{a}\.(?=\s*[a-z])(?!\w\.)", f"{b} ")
         s = F.regexp_replace(s, rf"{a}\b", b) if len(a) > 2 else s
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9&]", ""), "^(the)+", ""), r"(&sons|(brewing|distilling)?co(mpany)?|cellars|brand)+$", "")
+    return _closed(s)
 
 
-def abbreviations(values: DataFrame, refs: DataFrame, support: int = 3, most: int = 500, rounds: int = 2) -> dict[str, str]:
-    """What values write in place of one word of a reference, in ``support`` different references or more: {short: word}.
+def keyed(rows: DataFrame, value: str, name: str, short: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """``rows`` with the key of the column ``value`` as ``name``. ``short``: all abbreviations (short, word), of any number.
+
+    More than ``at_once`` of them meet the ends of the words in joins: each round writes out the next one of a text, in the
+    order of :func:`key`, until none fits; a text takes as many rounds as abbreviations stand in it.
+    """
+    few = short.limit(at_once + 1).collect()
+    if len(few) <= at_once:
+        return rows.withColumn(name, key(F.col(value), {r["short"]: r["word"] for r in few}))
+    trade = rows.sparkSession.createDataFrame(list(TRADE.items()), "short string, word string")
+    known = small(written(short.unionByName(trade.join(short, "short", "left_anti")), "known"))
+    runs = F.filter(F.regexp_extract_all("s", F.lit(r"([a-z0-9_]+)"), 1), lambda r: F.length(r) > 1)
+    tails = F.explode(F.array_distinct(F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: r.substr(i, F.length(r)))))))
+    is_long, put = F.length("short") > 2, lambda pre, post: F.concat(F.lit(pre), "short", F.lit(post))
+    out = F.regexp_replace("s", F.when(is_long, put("", r"\.(?!\w\.)")).otherwise(put(r"\b", r"\.(?=\s*[a-z])(?!\w\.)")), F.concat("word", F.lit(" ")))
+    out = F.when(is_long, F.regexp_replace(out, put("", r"\b"), F.col("word"))).otherwise(out)
+    texts = rows.withColumn("text", _opened(F.col(value)))
+    now = written(texts.select("text").distinct().select("text", F.col("text").alias("s"), F.lit("").alias("last")), "texts")
+    done = []
+    while not now.isEmpty():
+        fit = now.select("*", tails.alias("short")).join(known, "short").filter(F.col("short") > F.col("last")).withColumn("out", out).filter(F.col("out") != F.col("s"))
+        then = written(fit.groupBy("text").agg(F.min(F.struct("short", "out")).alias("b")).select("text", F.col("b.out").alias("s"), F.col("b.short").alias("last")), "texts")
+        done.append(now.join(then.select("text"), "text", "left_anti").select("text", "s"))
+        now = then
+    if not done:
+        return rows.withColumn(name, F.lit(None).cast("string"))
+    return texts.join(reduce(DataFrame.unionByName, done), "text").select(*rows.columns, _closed(F.col("s")).alias(name))
+
+
+def learnt(values: DataFrame, refs: DataFrame, support: int = 3, rounds: int | None = None, at_once: int = AT_ONCE) -> DataFrame:
+    """What values write in place of one word of a reference, in ``support`` different references or more: (short, word), all there are.
 
     ``values``: value; ``refs``: name. A value and a name meet in an equality join on their words with one left open;
     the word of the value is known in no name and has the first letter of the name's, and others of its letters in their
-    order. A further round reads the values with what is learnt written out. The most frequent come first, ``most`` in a
-    round; a short form that stands for several words is none.
+    order. Further rounds read the values with what is learnt written out, until nothing more is learnt (or ``rounds`` are
+    over); what is learnt is no unknown word any more, so they end. A short form that stands for several words is none.
     """
     read = lambda c: F.regexp_extract_all(F.lower(plain(F.col(c))), F.lit(r"([a-z0-9&]+)"), 1)
     opened = lambda w: F.transform(w, lambda x, i: F.struct(x.alias("word"), F.array_join(F.transform(w, lambda y, j: F.when(i == j, "*").otherwise(y)), " ").alias("frame")))
@@ -54,17 +95,37 @@ def abbreviations(values: DataFrame, refs: DataFrame, support: int = 3, most: in
     b = small(names.select(F.explode(opened(F.col("w"))).alias("o")).select("o.word", "o.frame"))
     spelled = written(values.select(read("value").alias("w")).filter(F.size("w") > 1).distinct(), "words")
     in_order = F.rlike("word", F.concat(F.lit("^"), F.regexp_replace("short", "(.)", "$1.*")))
-    learnt: dict[str, str] = {}
-    for _ in range(rounds):
-        out = F.create_map(*(F.lit(x) for kv in learnt.items() for x in kv)) if learnt else None
-        w = F.col("w") if out is None else F.transform("w", lambda x: F.coalesce(F.try_element_at(out, x), x))  # noqa: B023
-        a = spelled.select(F.explode(opened(w)).alias("o")).select(F.col("o.word").alias("short"), "o.frame")
+    found = values.sparkSession.createDataFrame([], "short string, word string")
+    done = 0
+    while rounds is None or done < rounds:
+        a = _reworded(spelled, found, at_once).select(F.explode(opened(F.col("w"))).alias("o")).select(F.col("o.word").alias("short"), "o.frame")
         a = a.filter((F.length("short") > 1) & F.col("short").rlike("^[a-z]+$")).join(small(known), F.col("short") == F.col("word"), "left_anti")
         met = a.join(b, "frame").filter((F.length("word") - F.length("short") > 1) & in_order)
         counted = met.groupBy("short", "word").agg(F.countDistinct("frame").alias("n"))
         best = counted.groupBy("short").agg(F.max(F.struct("n", "word")).alias("b"), F.sum("n").alias("all")).filter((F.col("b.n") >= support) & (F.col("b.n") > 0.8 * F.col("all")))
-        learnt = {r["short"]: r["word"] for r in best.orderBy(F.desc("b.n"), "short").limit(most).select("short", "b.word").collect()} | learnt
-    return learnt
+        new = written(best.select("short", "b.word"), "abbreviations")
+        if new.isEmpty():
+            break
+        found, done = found.unionByName(new) if done else new, done + 1
+    return found
+
+
+def abbreviations(values: DataFrame, refs: DataFrame, support: int = 3, rounds: int | None = None) -> dict[str, str]:
+    """What is :func:`learnt`, as {short: word}."""
+    return {r["short"]: r["word"] for r in learnt(values, refs, support, rounds).collect()}
+
+
+def _reworded(spelled: DataFrame, found: DataFrame, at_once: int) -> DataFrame:
+    """Lists of words (w) with what is ``found`` written out."""
+    few = found.limit(at_once + 1).collect()
+    if not few:
+        return spelled
+    if len(few) <= at_once:
+        out = F.create_map(*(F.lit(x) for r in few for x in (r["short"], r["word"])))
+        return spelled.select(F.transform("w", lambda x: F.coalesce(F.try_element_at(out, x), x)).alias("w"))
+    each = spelled.select("w", F.posexplode("w").alias("i", "short")).join(small(found), "short", "left")
+    lists = each.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("word", "short").alias("x")))).alias("l"))
+    return lists.select(F.transform("l", lambda e: e["x"]).alias("w"))
 
 
 def _typos(a: Column, b: Column, counts_a: Column, counts_b: Column, distance: Column) -> Column:
@@ -153,9 +214,9 @@ def canonicalized(findings: DataFrame, entries: DataFrame, typos: int = 2) -> Da
     exact = entries.select(F.col("field_name").alias("list"), F.col("canonical_name").alias("value")).distinct()
     rows = rows.join(small(exact), ["list", "value"], "left_anti")
     values = written(rows.select("list", "value").distinct(), "values")
-    short = abbreviations(values.select("value"), entries.select(F.col("canonical_name").alias("name")))
-    spelled = written(spread(values).select("list", "value", key(F.col("value"), short).alias("key")), "spellings")
-    refs = written(entries.select(F.col("field_name").alias("list"), F.col("entry_id").alias("entry"), key(F.col("canonical_name"), short).alias("ref")), "references")
+    short = learnt(values.select("value"), entries.select(F.col("canonical_name").alias("name")))
+    spelled = written(keyed(spread(values).select("list", "value"), "value", "key", short), "spellings")
+    refs = written(keyed(entries.select(F.col("field_name").alias("list"), F.col("entry_id").alias("entry"), "canonical_name"), "canonical_name", "ref", short).drop("canonical_name"), "references")
     matched = pigeonhole(spread(spelled.select("list", "key").filter(F.col("key") != "").distinct()), refs, typos)
     meaning = spelled.join(matched, ["list", "key"]).select("list", "value", "entry")
     return rows.join(meaning, ["list", "value"], "left").select("finding_id", "side", F.coalesce("entry", F.lit(0)).cast("bigint").alias("entry_id"))

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from assayist.llm.canonical import abbreviations, canonicalized, key, pigeonhole
+from assayist.llm.canonical import abbreviations, canonicalized, key, keyed, pigeonhole
 
 ENTRIES = [(1, "b", "Granite & Summit"), (2, "b", "Old Quarry Barrel"), (3, "b", "Étoile Vineyard"), (4, "c", "Straight Rye Whiskey"), (5, "c", "Pale Ale"), (6, "c", "Rye Whiskey"), (7, "c", None)]
 
@@ -80,3 +80,28 @@ def test_abbreviations_are_learnt(spark):
     assert abbreviations(df(values, "value"), fewer, rounds=1) == {"crk": "creek"} and abbreviations(df(values, "value"), fewer) == {"crk": "creek", "no": "northern"}
     assert abbreviations(df([], "value"), refs) == {} == abbreviations(df(values, "value"), df([], "name"))
     assert df(["Old No. Crk. Co."], "v").select(key(F.col("v"), {"crk": "creek", "no": "northern"}).alias("k")).first().k == "oldnortherncreek"
+
+
+def test_all_abbreviations_are_learnt(spark):
+    """No number of abbreviations is too large: each of 1,020 is learnt and written out."""
+    codes = [a + b + c for a in "abcdefghijk" for b in "abcdefghijk" for c in "abcdefghijk"][:1020]
+    names = [f"{x} {'xy'.join(c)}" for c in codes for x in ("Tall", "Quiet", "Lower")]
+    values = [f"{x} {c.upper()}." for c in codes for x in ("Tall", "Quiet", "Lower")]
+    refs = spark.createDataFrame([(i, "b", n) for i, n in enumerate(names, 1)], "entry_id bigint, field_name string, canonical_name string")
+    df = spark.createDataFrame([(i, "b", v, None) for i, v in enumerate(values, 1)], "finding_id bigint, field_name string, extracted_value string, expected_value string")
+    assert abbreviations(df.selectExpr("extracted_value as value"), refs.selectExpr("canonical_name as name")) == {c: "xy".join(c) for c in codes}
+    some = df.filter("finding_id % 50 = 0 or finding_id > 3000")
+    assert canonicalized(some, refs).filter("entry_id > 0").count() < some.count()  # too few values to learn from
+    got = canonicalized(df, refs).collect()
+    assert len(got) == len(names) and all(r.entry_id == r.finding_id for r in got)
+
+
+def test_joined_abbreviations_give_the_same_keys(spark):
+    """Written out in joins or by an expression: the same keys, with abbreviations of what another one wrote, points, and initials."""
+    short = {"crk": "creek", "no": "northern", "mtn": "mountain", "tain": "tavernmain", "ain": "abbotin", "whisky": "whiskyard", "zcreek": "zoocreek", "reek": "roebeek", "st": "saint"}
+    values = ["Old Crk.", "Old No. Crk", "no.1 crk.x.", "zcrk", "Mtn Mtn.Crk", "mtn.tain", "N.o. Mtn.", "Str. Rye Whisky", "whsky liq", "The Crk, No. Co.", "", "-", "no", "st. mtn", "st.x.", "crkж mtn", "mtn1", "Étain crk_", "&mtn"]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values + values[:3])], "i int, v string")
+    table = spark.createDataFrame(list(short.items()), "short string, word string")
+    one, other = ({r.i: r.k for r in keyed(rows, "v", "k", table, n).collect()} for n in (50, 2))
+    assert one == other == {r.i: r.k for r in rows.select("i", key(F.col("v"), short).alias("k")).collect()} and len(one) == len(values) + 3
+    assert keyed(rows.limit(0), "v", "k", table, 2).count() == 0
